@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.base import table
 from quillon.llm.jaccard import jaccard_classes
+from quillon.llm.quality import quality_scores
 from quillon.llm.substring import cut_repeats
 
 
@@ -20,8 +21,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op6_substring_dedup)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op6_substring_dedup, op7_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
