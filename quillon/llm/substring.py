@@ -12,8 +12,8 @@ stands around it. Names of fewer than CAP words are at most 1, 2, 4, 7, 7 words
 the five rounds, so a substring loses at most 21 words at either end, and at most 5 and
 2 more where a run crosses an end: of 50 words, one at least lies in a whole symbol that
 every occurrence has. Shared symbols therefore reveal every repeat of 50 words; they
-are grouped over all documents, and the windows around those that several documents have
-are verified by a hash of all their words.
+are grouped over all documents, and windows all of whose inner symbols several documents
+have are verified by a hash of all their words.
 """
 
 from __future__ import annotations
@@ -33,33 +33,43 @@ ROUNDS, CAP, RUN = 5, 8, 3
 LEAST_WINDOW = 50
 
 
-def recompress(names: np.ndarray, text_of: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, first word of each) of words with these names, for texts numbered by text_of."""
+def recompress(names: np.ndarray, text_of: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """Words with these names, of texts numbered by text_of -> (symbols, first word of
+    each, lead, tail). In whatever context the words i to j stand, the symbols from
+    number lead[i] to tail[j] - 1 are the same (none where lead[i] >= tail[j])."""
     n = len(names)
     if n == 0:
-        return names, np.empty(0, dtype=np.int64)
+        none = np.empty(0, dtype=np.int64)
+        return names, none, none, none
     # runs: RUN equal words from the run's start, and its rest, are symbols that stay
     new = np.append(True, (names[1:] != names[:-1]) | (text_of[1:] != text_of[:-1]))
     first = np.flatnonzero(new)
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    length = np.diff(np.append(first, n))
+    run_of = np.cumsum(new) - 1
+    place = np.arange(n) - first[run_of]
     at = np.flatnonzero(place % RUN == 0)
     size = np.diff(np.append(at, n))
-    run = np.diff(np.append(first, n)) > 1
-    fixed = np.repeat(run, np.diff(np.append(first, n)))[at]
+    fixed = (length > 1)[run_of[at]]
+    # a run that crosses an end can be longer elsewhere
+    lead = np.searchsorted(at, np.append(first[1:], n))[run_of]
+    tail = np.searchsorted(at, first)[run_of]
     names, text_of = names[at], text_of[at]
     names = np.where(fixed, W.mix(names + size.astype(np.uint64) * W._STEP[40]), names)
     for r in range(rounds):
         right = (W.mix(names + W._STEP[50 + r]) >> np.uint64(63)).astype(bool)
         free = ~fixed
         pair = np.flatnonzero(~right[:-1] & right[1:] & free[:-1] & free[1:] & (text_of[:-1] == text_of[1:]))
+        keep = np.ones(len(names), dtype=bool)
+        keep[pair + 1] = False
+        before = np.append(0, np.cumsum(keep))
+        lead = before[lead + np.append(right & free, False)[lead]]
+        tail = before[tail - np.append(False, ~right & free)[tail]]
         names, size = names.copy(), size.copy()
         names[pair] = W.mix(names[pair] * W._STEP[60] + names[pair + 1] * W._STEP[61] + np.uint64(r))
         size[pair] += size[pair + 1]
-        keep = np.ones(len(names), dtype=bool)
-        keep[pair + 1] = False
         names, size, text_of, at, fixed = names[keep], size[keep], text_of[keep], at[keep], fixed[keep]
         fixed = fixed | (size >= CAP)
-    return names, at
+    return names, at, lead, tail
 
 
 def _texts(chunk: W.Chunk) -> np.ndarray:
@@ -74,7 +84,7 @@ def _symbols(window: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in W.chunks(range(len(batch)), W.column(batch, "text")):
                 text_of = _texts(chunk)
-                names, at = recompress(chunk.hashes, text_of)
+                names, at, _, _ = recompress(chunk.hashes, text_of)
                 owner = text_of[at]
                 long = np.diff(chunk.bounds)[owner] >= window
                 names, owner = names[long], owner[long]
@@ -114,7 +124,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(window: int):
-    """(doc_id, text, symbols) -> (hash, doc_id, at): windows that hold one of the symbols."""
+    """(doc_id, text, symbols) -> (hash, doc_id, at): the windows whose inner symbols, those
+    that they have wherever they stand, are all among the given ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,18 +133,14 @@ def _windows(window: int):
             marks = batch.column(2)
             for chunk in W.chunks(range(len(batch)), W.column(batch, "text")):
                 text_of = _texts(chunk)
-                names, at = recompress(chunk.hashes, text_of)
-                end = np.append(at[1:], len(chunk.hashes))
+                names, at, lead, tail = recompress(chunk.hashes, text_of)
                 bound = np.searchsorted(at, chunk.bounds)
                 out: tuple[list, list, list] = ([], [], [])
                 for i, row in enumerate(chunk.rows):
-                    a, e = int(chunk.bounds[i]), int(chunk.bounds[i + 1])
-                    here = slice(bound[i], bound[i + 1])
-                    hit = np.isin(names[here], marks[int(row)].values.to_numpy().view(np.uint64))
-                    low, high = np.maximum(end[here][hit] - a - window, 0), np.minimum(at[here][hit] - a, e - a - window)
-                    low, high = low[low <= high], high[low <= high]
-                    edge = np.bincount(low, minlength=e - a + 2) - np.bincount(high + 1, minlength=e - a + 2)
-                    start = np.flatnonzero(np.cumsum(edge) > 0)
+                    a, e, low, high = int(chunk.bounds[i]), int(chunk.bounds[i + 1]), bound[i], bound[i + 1]
+                    alone = np.append(0, np.cumsum(~np.isin(names[low:high], marks[int(row)].values.to_numpy().view(np.uint64))))
+                    here, there = lead[a : e - window + 1] - low, tail[a + window - 1 : e] - low
+                    start = np.flatnonzero((here >= there) | (alone[np.minimum(here, high - low)] == alone[np.clip(there, 0, high - low)]))
                     if len(start):
                         out[0].append(W.rolling(chunk.hashes[a:e], start, start + window).view(np.int64))
                         out[1].append(np.full(len(start), ids[int(row)]))
