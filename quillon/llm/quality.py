@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     usable = base.lean(labels, "doc_id", "quality").where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = base.lean(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = sorted(texts.mapInArrow(_bags, "doc_id long, label double, bag binary").collect())
+    rows = sorted(base.mapped(texts, _bags, "doc_id long, label double, bag binary").collect())
     labels_ = np.array([r.label for r in rows])
     if len(set(labels_)) < 2:
         return float(labels_[0]) if len(labels_) else 0.5
@@ -201,5 +201,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     model = train(docs, labels, sample)
     rest = docs.drop("held_out", "score", "predicted")
     kinds = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = rest.mapInArrow(_score(model), kinds)
+    scored = base.mapped(rest, _score(model), kinds)
     return scored.select(*(F.col(f"`{c}`") for c in rest.columns), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -224,13 +224,14 @@ def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW) -> DataFrame:
     heads = named.groupBy("name").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail")
     copies = base.written(named.join(heads, "name").where("doc_id > head").select("doc_id", "head").distinct(), "copies")
 
-    posts = known.mapInArrow(_symbols(window), "symbol long, doc_id long").repartition(n, "symbol").sortWithinPartitions("symbol", "doc_id")
-    shared = posts.mapInArrow(_shared, "symbol long, doc_id long").join(copies, "doc_id", "left_anti")
+    posts = base.mapped(known, _symbols(window), "symbol long, doc_id long").repartition(n, "symbol").sortWithinPartitions("symbol", "doc_id")
+    shared = base.mapped(posts, _shared, "symbol long, doc_id long").join(copies, "doc_id", "left_anti")
     marks = base.written(shared.groupBy("doc_id").agg(F.collect_list("symbol").alias("symbols")), "marks")
 
     texts = docs.repartition(n, "doc_id")  # one exchange, read twice
-    found = texts.join(marks.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(window), "hash long, doc_id long, at long")
-    later = found.repartition(n, "hash").sortWithinPartitions("hash", "doc_id").mapInArrow(_later, "doc_id long, at long")
+    found = base.mapped(texts.join(marks.hint("shuffle_hash"), "doc_id"), _windows(window), "hash long, doc_id long, at long")
+    found = found.repartition(n, "hash").sortWithinPartitions("hash", "doc_id")
+    later = base.mapped(found, _later, "doc_id long, at long")
     starts = later.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     out = texts.join(starts.hint("shuffle_hash"), "doc_id", "left").join(copies.hint("shuffle_hash"), "doc_id", "left")
-    return out.select("doc_id", "text", "starts", "head").mapInArrow(_cut(window), "doc_id long, kept string, n_words long, n_removed long, spans array<struct<start: bigint, end: bigint>>")
+    return base.mapped(out.select("doc_id", "text", "starts", "head"), _cut(window), "doc_id long, kept string, n_words long, n_removed long, spans array<struct<start: bigint, end: bigint>>")
