@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import licences, urls
+from quillon.llm import html, licences, urls, warc
 from quillon.llm.base import table
 from quillon.llm.jaccard import jaccard_classes
 from quillon.llm.quality import quality_scores
 from quillon.llm.substring import cut_repeats
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), width=3, at_least=0.9)
 
@@ -36,6 +40,15 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), licences.known_licences(spark))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+
+    def page(column: str):
+        return F.regexp_extract(column, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
