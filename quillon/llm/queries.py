@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.llm import html, licences, urls, warc
 from quillon.llm.base import table
 from quillon.llm.jaccard import jaccard_classes
+from quillon.llm.nearvec import link_vectors
 from quillon.llm.quality import quality_scores
 from quillon.llm.substring import cut_repeats
 
@@ -18,6 +19,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), width=3, at_least=0.9)
 
