@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm import html, licences, urls, warc
 from quillon.llm.base import table
+from quillon.llm.decontam import find_leaks
 from quillon.llm.jaccard import jaccard_classes
 from quillon.llm.nearvec import link_vectors
+from quillon.llm.packing import pack_documents
 from quillon.llm.quality import quality_scores
 from quillon.llm.substring import cut_repeats
 
@@ -27,6 +29,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), width=3, at_least=0.9)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -45,6 +51,11 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), licences.known_licences(spark))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
 
