@@ -1,4 +1,72 @@
-STAGES = []
+"""The corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import base
+from quillon.llm.decontam import find_leaks
+from quillon.llm.jaccard import BROADCAST_IDS, jaccard_classes
+from quillon.llm.packing import pack_documents
+from quillon.llm.quality import quality_scores
+from quillon.llm.substring import cut_repeats
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for rows with one of the ids(doc_id); these are broadcast if they are few."""
+    ids = base.written(ids.distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = quality_scores(docs, base.table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    return _without(docs, jaccard_classes(docs).where("doc_id <> component_id").select("doc_id"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats of passages of 50 words go; a document of which nothing is left goes. Others
+    keep their text as it is."""
+    cut = cut_repeats(docs, carry=tuple(docs.columns)).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carried.n_chars"))}
+    return cut.select(*(new.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, find_leaks(docs, base.table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 token ids."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeats),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: SQL can't express the classifier, the tokenizer and the packing.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = base.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm import base
 from quillon.llm import words as W
@@ -167,10 +168,9 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(at[later])], names=["doc_id", "at"])
 
 
-def _cut(window: int):
-    """(doc_id, text, starts, head) -> what is kept, and the spans of words that go."""
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    kinds = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(span))])
+def _cut(window: int, kinds: pa.Schema):
+    """(doc_id, text, starts, head, ...) -> what is kept, the spans of words that go, and
+    the further columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,12 +196,17 @@ def _cut(window: int):
                 out[1].append(n)
                 out[2].append(n - len(kept))
                 out[3].append([{"start": a, "end": b} for a, b in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(span))], schema=kinds)
+            fixed = [pa.array(c, kinds.field(k + 1).type) for k, c in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *fixed, *(batch.column(k) for k in range(4, batch.num_columns))], names=kinds.names[: 5 + batch.num_columns - 4])
 
     return run
 
 
-def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW) -> DataFrame:
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+CUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(SPAN)), ("carried", pa.null())])
+
+
+def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id long, text string, ...) -> (doc_id, kept string, n_words, n_removed,
     spans array<struct<start, end>>), a row per input row. A word goes if a window of
     ``window`` consecutive words (50 or more) covers it whose words also stand, in this
@@ -209,15 +214,16 @@ def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW) -> DataFrame:
     kept: the other words, joined by one space; spans: the places of what went.
 
     Null and empty texts have no words. A row with a null doc_id keeps all its words and
-    takes none from others. Rows with one doc_id don't cut each other. Other columns are
-    ignored. No rows give no rows.
+    takes none from others. Rows with one doc_id don't cut each other. Of other columns,
+    those named in ``carry`` come along in a struct, carried. No rows give no rows.
     """
     if window < LEAST_WINDOW:
         raise ValueError(f"windows of fewer than {LEAST_WINDOW} words can slip through the symbols")
     spark = docs.sparkSession
     base.tune(spark)
     n = base.parts(spark)
-    docs = base.lean(docs, "doc_id", "text")
+    rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    docs = docs.select("doc_id", "text", *rest)
     known = docs.where("doc_id is not null and text is not null")
 
     named = known.select("doc_id", F.md5("text").alias("name"))
@@ -229,9 +235,13 @@ def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW) -> DataFrame:
     marks = base.written(shared.groupBy("doc_id").agg(F.collect_list("symbol").alias("symbols")), "marks")
 
     texts = docs.repartition(n, "doc_id")  # one exchange, read twice
-    found = base.mapped(texts.join(marks.hint("shuffle_hash"), "doc_id"), _windows(window), "hash long, doc_id long, at long")
+    more = ["carried"] if carry else []
+    found = texts.join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "symbols", *more)
+    found = base.mapped(found, _windows(window), "hash long, doc_id long, at long")
     found = found.repartition(n, "hash").sortWithinPartitions("hash", "doc_id")
     later = base.mapped(found, _later, "doc_id long, at long")
     starts = later.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     out = texts.join(starts.hint("shuffle_hash"), "doc_id", "left").join(copies.hint("shuffle_hash"), "doc_id", "left")
-    return base.mapped(out.select("doc_id", "text", "starts", "head"), _cut(window), "doc_id long, kept string, n_words long, n_removed long, spans array<struct<start: bigint, end: bigint>>")
+    kinds = T.StructType.fromDDL("doc_id long, kept string, n_words long, n_removed long, spans array<struct<start: bigint, end: bigint>>")
+    kinds = T.StructType([*kinds.fields, *(f for f in texts.schema.fields if f.name in more)])
+    return base.mapped(out.select("doc_id", "text", "starts", "head", *more), _cut(window, CUT), kinds)
