@@ -10,7 +10,7 @@
 3.  In a block, each set is searched in an inverted index: the lists of its elements are
     divided into long and short ones, the short ones heap-merged with skips, what occurs
     often enough there is probed for in the long ones by bisection, and sets with the
-    required overlap link. A search is left out when its block is one component already.
+    required overlap link. What is in one component already is not compared again.
     Blocks beyond a bound of elements are cut into pieces and searched piece against
     piece, in as many tasks.
 4.  Links become components.
@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -61,15 +61,29 @@ def bands(at_least: Fraction, top: int) -> list[tuple[int, int]]:
     while True:
         high = low * q**3 // p**3
         # linked sets of s = |A| + |B| elements in all differ in at most s (q - p) / (q + p)
-        out.append((high, 2 * high * (q - p) // (q + p) + 1))
+        differ = 2 * high * (q - p) // (q + p)
+        out.append((high, differ + 1 + spare(differ)))
         if high >= top:
             return out
         low = high + 1
 
 
+def weak(at_least: Fraction) -> int:
+    """A part of fewer elements says little: unrelated sets can agree on it."""
+    p, q = at_least.numerator, at_least.denominator
+    return max(1, round(0.15 * (p + q) / max(1, q - p)))
+
+
+def spare(differ: int) -> int:
+    """Further parts, so that sets with at most as many weak parts agree on another one."""
+    return differ // 8 + (differ >= 3)
+
+
 def signatures(elements: np.ndarray, at_least: Fraction, table: list[tuple[int, int]]) -> np.ndarray:
     """Routing hashes of a sorted set: those of all parts of its band, and of the next
-    band where a set that links with it can lie there."""
+    band where a set that links with it can lie there. Weak parts are left out unless
+    there are more than spare parts: if two sets that link agree on weak parts only,
+    these are more than the spare ones, so both name theirs."""
     n = len(elements)
     k = next(i for i, (high, _) in enumerate(table) if n <= high)
     reach = n * at_least.denominator // at_least.numerator
@@ -80,7 +94,10 @@ def signatures(elements: np.ndarray, at_least: Fraction, table: list[tuple[int,
         edges = np.array([(i << 64) // m for i in range(1, m)], dtype=np.uint64)
         cut = np.concatenate([[0], np.searchsorted(elements, edges), [n]])
         names = np.arange(m, dtype=np.uint64) + np.uint64(band << 40)
-        out.append(W.mix(sums[cut[1:]] - sums[cut[:-1]] + W.mix(names)))
+        named = W.mix(sums[cut[1:]] - sums[cut[:-1]] + W.mix(names))
+        strong = np.diff(cut) >= weak(at_least)
+        differ = 2 * table[band][0] * (at_least.denominator - at_least.numerator) // (at_least.denominator + at_least.numerator)
+        out.append(named[strong] if m - strong.sum() <= spare(differ) else named)
     return np.concatenate(out)
 
 
@@ -90,9 +107,10 @@ def shingle_sets(chunk: W.Chunk, width: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 class Index:
-    """Inverted lists of some sets: list(element) holds the sets' numbers in order."""
+    """Inverted lists of some sets: that of an element holds the sets' numbers in order."""
 
     def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
         self.sizes = [len(s) for s in sets]
         flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
@@ -101,35 +119,42 @@ class Index:
         self.firsts = np.append(firsts, len(flat))
         self.owner = owner[order]
 
-    def lists(self, elements: np.ndarray) -> list[list[int]]:
-        at = np.searchsorted(self.keys, elements)
-        at = at[at < len(self.keys)] if len(self.keys) else at[:0]
-        found = at[np.isin(self.keys[at], elements)]
-        return [self.owner[self.firsts[i] : self.firsts[i + 1]].tolist() for i in found]
-
-    def search(self, elements: np.ndarray, needed: int) -> list[tuple[int, int]]:
-        """(set, occurrences) of all sets on at least ``needed`` of the elements' lists."""
-        lists = sorted(self.lists(elements), key=len)
-        return divide_skip(lists, needed)
-
-
-def divide_skip(lists: list[list[int]], needed: int, mu: float = 0.0085) -> list[tuple[int, int]]:
-    """All ids that occur on at least ``needed`` of the sorted lists, with their counts.
+    def search(self, elements: np.ndarray, needed: int, wanted: Callable[[int], bool] = lambda _: True) -> list[tuple[int, int]]:
+        """(set, occurrences) of the wanted sets on at least ``needed`` of the elements' lists.
 
-    lists come shortest first. The long ones (at most needed - 1, as what occurs only
-    there occurs too rarely) are probed by bisection; the others are heap-merged, and
-    whenever the least id occurs too rarely, the merge skips to the next that can matter.
+        Of the lists, the longest are left out of the merge: needed - 1 of them could be,
+        as a set on these alone is on too few; with a twentieth less, what the merge
+        finds is on several of the others. A set is looked for in the long lists by
+        bisection: their elements, in the set's own order.
+        """
+        at = np.searchsorted(self.keys, elements)
+        inside = at < len(self.keys)
+        inside[inside] = self.keys[at[inside]] == elements[inside]
+        at = at[inside]
+        if needed < 1 or len(at) < needed:
+            return []
+        at = at[np.argsort(self.firsts[at + 1] - self.firsts[at], kind="stable")]
+        n_long = max(0, needed - 1 - needed // 20)
+        short, long = at[: len(at) - n_long], np.sort(self.keys[at[len(at) - n_long :]])
+
+        def probe(number: int) -> int:
+            own = self.sets[number]
+            k = np.searchsorted(own, long)
+            return int(np.count_nonzero(own[np.minimum(k, len(own) - 1)] == long))
+
+        lists = [self.owner[self.firsts[i] : self.firsts[i + 1]].tolist() for i in short]
+        return divide_skip(lists, needed, n_long, probe, wanted)
+
+
+def divide_skip(short: list[list[int]], needed: int, n_long: int, probe: Callable[[int], int], wanted: Callable[[int], bool]) -> list[tuple[int, int]]:
+    """All wanted ids that occur on at least ``needed`` of the sorted short lists and of
+    n_long others, with their counts; probe(id) tells how many of the others have it.
+
+    The short lists are heap-merged. Whenever the least id occurs on too few of them to
+    reach ``needed``, the merge skips to the next that can.
     """
-    if needed < 1 or len(lists) < needed:
-        return []
-    longest = len(lists[-1])
-    share = needed / (mu * math.log2(longest + 1) * longest + 1)
-    long_ones = min(needed - 1, max(0, math.ceil(share)), len(lists) - 1)
-    while long_ones and len(lists[-long_ones]) < 2:
-        long_ones -= 1  # lists of one id cost as much either way
-    short, long = lists[: len(lists) - long_ones], lists[len(lists) - long_ones :]
-    least = needed - long_ones
-    heap = [(ids[0], k) for k, ids in enumerate(short)]
+    least = needed - n_long
+    heap = [(ids[0], k) for k, ids in enumerate(short) if ids]
     at = [0] * len(short)
     heapq.heapify(heap)
     found = []
@@ -139,13 +164,7 @@ def divide_skip(lists: list[list[int]], needed: int, mu: float = 0.0085) -> list
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap)[1])
         if len(popped) >= least:
-            count = len(popped)
-            for rest, ids in zip(range(long_ones - 1, -1, -1), long, strict=True):
-                k = bisect_left(ids, top)
-                count += k < len(ids) and ids[k] == top
-                if count + rest < needed:
-                    break
-            if count >= needed:
+            if wanted(top) and (count := len(popped) + probe(top)) >= needed:
                 found.append((top, count))
             for k in popped:
                 at[k] += 1
@@ -164,20 +183,39 @@ def divide_skip(lists: list[list[int]], needed: int, mu: float = 0.0085) -> list
     return found
 
 
+#: Searches after which the component that others are compared with is chosen.
+TRIALS = 8
+
+
 def block_links(index_ids: list[int], index_sets: list[np.ndarray], query_ids: list[int] | None, query_sets: list[np.ndarray] | None, at_least: Fraction) -> list[tuple[int, int]]:
     """A spanning forest of the links between the queries and the index (or within the
-    index, where there are no queries)."""
+    index, where there are no queries).
+
+    Sets of one component aren't compared. Within an index, those of one chosen component
+    aren't searched for either: links between two of them add nothing, and links to others
+    are found by the others' searches.
+    """
     index = Index(index_sets)
     within = query_ids is None
     ids = index_ids if within else index_ids + query_ids
-    forest, links = graph.Forest(len(ids)), []
+    forest, links, chosen = graph.Forest(len(ids)), [], None
     for q, elements in enumerate(index_sets if within else query_sets):
         if forest.trees == 1:
             break
+        if within and q == TRIALS:
+            roots = [forest.find(i) for i in range(len(ids))]
+            chosen = int(np.bincount(roots).argmax())
         here = q if within else len(index_ids) + q
+        if chosen is not None and forest.find(here) == forest.find(chosen):
+            continue
         n = len(elements)
-        for other, count in index.search(elements, smallest(n, at_least)):
-            if other != here and count >= overlap(n, index.sizes[other], at_least) and forest.join(here, other):
+        low, high = smallest(n, at_least), n * at_least.denominator // at_least.numerator
+
+        def wanted(other: int, here=here, low=low, high=high) -> bool:
+            return low <= index.sizes[other] <= high and forest.find(other) != forest.find(here)
+
+        for other, count in index.search(elements, low, wanted):
+            if count >= overlap(n, index.sizes[other], at_least) and forest.join(here, other):
                 links.append((ids[here], ids[other]))
     return links
 
@@ -282,13 +320,13 @@ def jaccard_classes(docs: DataFrame, width: int = 5, at_least: float = 0.8, piec
     base.tune(spark)
     ratio = Fraction(at_least).limit_denominator(10_000)
     docs = base.lean(docs, "doc_id", "text")
-    seen = base.written(docs.mapInArrow(_describe(width, ratio), "doc_id long, n long, key binary, parts array<long>"), "sets")
+    seen = base.written(base.mapped(docs, _describe(width, ratio), "doc_id long, n long, key binary, parts array<long>"), "sets")
     classes = seen.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head"))
     first = seen.where("n > 0").join(classes.select(F.col("head").alias("doc_id"), F.col("key").alias("k")), "doc_id", "inner").where("key = k")
 
     # whole sets that agree on a part are tied to the least of them
     posts = first.select(F.explode("parts").alias("part"), "doc_id").repartition(base.parts(spark), "part").sortWithinPartitions("part", "doc_id")
-    blocks = base.written(graph.components(posts.mapInArrow(tie, "u long, v long")).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
+    blocks = base.written(graph.components(base.mapped(posts, tie, "u long, v long")).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
 
     # a large block: pieces against pieces, in as many tasks
     sized = blocks.join(first.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.ceil(F.sum("n") / piece).alias("pieces"))
@@ -296,11 +334,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, at_least: float = 0.8, piec
     few = blocks.count() <= BROADCAST_IDS
     texts = docs.where("doc_id is not null").join(F.broadcast(blocks) if few else blocks, "doc_id")
     own, other = F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
-    sets = texts.select("block", own.alias("own"), "pieces", "doc_id", "text").mapInArrow(_members(width), "block long, own long, pieces long, doc_id long, elements binary")
+    sets = base.mapped(texts.select("block", own.alias("own"), "pieces", "doc_id", "text"), _members(width), "block long, own long, pieces long, doc_id long, elements binary")
     a, b = F.least("own", "other"), F.greatest("own", "other")
     cells = sets.withColumn("other", other).select("block", a.alias("a"), b.alias("b"), (F.col("own") > a).cast("int").alias("side"), "doc_id", "elements")
     cells = cells.repartition(base.parts(spark), "block", "a", "b").sortWithinPartitions("block", "a", "b", "side", "doc_id")
-    links = cells.mapInArrow(_search(ratio), "u long, v long")
+    links = base.mapped(cells, _search(ratio), "u long, v long")
     roots = graph.components(links)
 
     heads = classes.join(roots.select(F.col("node").alias("head"), "component"), "head", "left").select("key", F.coalesce("component", "head").alias("component"))
