@@ -24,17 +24,18 @@ WINDOW, END = 2048, 1
 #: Documents of a shard of the index; terms of a query.
 SHARD, TERMS = 2048, 16
 K1, B = 1.2, 0.75
-#: Words whose ids a worker remembers.
-CACHE = 300_000
+#: Words, and words without punctuation, that a worker remembers.
+CACHE = 1_000_000
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
     """Token ids of texts as little-endian 16-bit bytes, by way of a cache of words.
 
-    White space parts words for the tokenizer too, so a text's ids are its words' ids.
-    New words of letters alone are encoded many at once and told apart by the tokens that
-    end a word; ASCII punctuation behind letters is a token sequence of its own.
+    White space parts words for the tokenizer too, so a text's ids are its words' ids, and
+    as it ignores case, ASCII letters are lowered first (but in texts that could hold a
+    special token). New words of letters alone are encoded many at once and told apart by
+    the tokens that end a word; ASCII punctuation behind letters is a token sequence of its own.
     """
 
     def __init__(self, path: str):
@@ -47,47 +48,52 @@ class Encoder:
             raise ValueError("more ids than 16 bits hold")
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.cache: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def _each(self, words: list[bytes]) -> None:
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.cache.update(zip(words, (np.array(x.ids, dtype="<u2").tobytes() for x in coded), strict=True))
+        self.cores.update(zip(words, (np.array(x.ids, dtype="<u2").tobytes() for x in coded), strict=True))
 
     def _letters(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u2")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u2")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):
                 self._each(part)
                 continue
             raw, at = ids.tobytes(), 0
-            for w, stop in zip(part, stops.tolist(), strict=True):
-                self.cache[w] = raw[2 * at : 2 * stop]
+            for w, stop in zip(part, (2 * stops).tolist(), strict=True):
+                self.cores[w] = raw[at:stop]
                 at = stop
 
     def learn(self, words: set[bytes]) -> None:
-        letters, rest, joined = set(), set(), []
+        cores, new, rest = self.cores, set(), set()
+        split = []
         for w in words:
             core = w.rstrip(_TAIL)
-            if core.decode().isalpha():
-                letters.add(core)
-                if len(core) < len(w):
-                    rest.add(w[len(core) :])
-                    joined.append((w, core))
+            if core in cores or core.decode().isalpha():
+                tail = w[len(core) :]
+                split.append((w, core, tail))
+                new.add(core)
+                rest.add(tail)
             else:
+                split.append((w, w, b""))
                 rest.add(w)
-        self._letters([w for w in letters if w not in self.cache])
-        self._each([w for w in rest if w not in self.cache])
-        for w, core in joined:
-            self.cache[w] = self.cache[core] + self.cache[w[len(core) :]]
+        rest.add(b"")
+        self._letters([w for w in new if w not in cores])
+        self._each([w for w in rest if w not in cores])
+        self.words.update((w, cores[core] + cores[tail]) for w, core, tail in split)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        self.learn({w for words in split for w in words if w not in self.cache})
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+        for cache in (self.words, self.cores):
+            if len(cache) > CACHE:
+                cache.clear()
+        self.learn(set().union(*split).difference(self.words))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -107,21 +113,22 @@ def _tokens(path: str):
         encode = encoder(path)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            for k in range(0, len(texts), 256):
-                ids = [x + end for x in encode([t or b"" for t in texts[k : k + 256]])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            for k in range(0, len(texts), 1024):
+                ids = [x + end for x in encode([t or b"" for t in texts[k : k + 1024]])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1024), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return run
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ids) -> (id, df): documents of this task that have the id."""
-    df = np.zeros(1 << 16, dtype=np.int64)
+    df, place = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            seen = np.zeros(1 << 16, dtype=bool)
-            seen[np.frombuffer(ids, dtype="<u2")] = True
-            df[seen] += 1
+        for raw in batch.column(0).to_pylist():
+            ids = np.frombuffer(raw, dtype="<u2")
+            here = np.arange(len(ids))
+            place[ids] = here
+            df[ids[place[ids] == here]] += 1  # each id where it stands last
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["id", "df"])
 
@@ -137,7 +144,8 @@ class Index:
         self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.owner] / average))
         self.firsts = np.searchsorted(term, np.arange(len(idf) + 1))
         # each sequence's best terms are its query
-        order = np.lexsort((term, -self.impact, self.owner))
+        order = np.argsort(-self.impact, kind="stable")
+        order = order[np.argsort(self.owner[order].astype(np.uint16 if len(sequences) < 1 << 16 else np.int64), kind="stable")]
         owner = self.owner[order]
         rank = np.arange(len(order)) - np.searchsorted(owner, np.arange(len(sequences)))[owner]
         best = rank < TERMS
