@@ -1,6 +1,6 @@
 """License scans: canonical digest lookup, with DataFrame functions only.
 
-A text's canonical form is that of A-Z in lower case, without copyright lines, with one
+A text's canonical form is that in lower case, without copyright lines, with one
 spelling for equivalent words, other punctuation and white space reduced to single
 spaces. Its digest is joined to the digests of known licence texts and notices. The
 texts of a document are the whole document, and each of its lines.
@@ -16,29 +16,44 @@ from quillon.llm import base
 #: Known rows are broadcast up to this many.
 FEW = 1 << 16
 COPYRIGHT = r"(?m)^[ \t]*(?:all rights reserved|(?:portions )?(?:copyright|\(c\)|©))[^\n]*$"
-#: Equivalent spellings, each with the one that stays.
+#: What a text with a copyright line holds.
+COPYRIGHTS = ["copyright", "(c)", "©", "all rights reserved"]
+#: Equivalent spellings: what a text with one holds, its pattern, and what stays.
 SAME = [
-    (r"\b(sub)?licence(s|d)?\b", "$1license$2"),
-    (r"\blicensor(s)? or owner(s)?\b", "licensor"),
-    (r"\borganis", "organiz"),
-    (r"\backnowledgement", "acknowledgment"),
-    (r"\bfavour", "favor"),
-    (r"\bcopyright owner", "copyright holder"),
-    (r"\bnon-?commercial", "noncommercial"),
-    (r"\bhttps://", "http://"),
-    (r"&", " and "),
-    (r"\b(?:ver\.|v\.?)[ ]?([0-9])", "version $1"),
+    ("licence", r"\b(sub)?licence(s|d)?\b", "$1license$2"),
+    ("organis", r"\borganis", "organiz"),
+    ("acknowledgement", r"\backnowledgement", "acknowledgment"),
+    ("favour", r"\bfavour", "favor"),
+    ("copyright owner", r"\bcopyright owner", "copyright holder"),
+    ("commercial", r"\bnon-?commercial", "noncommercial"),
+    ("https://", r"\bhttps://", "http://"),
+    ("&", r"&", " and "),
 ]
-PUNCTUATION = r"[!-/:-@\[-`{-~“”‘’«»–—•©®™\t\r\f\x0B\x{A0}]+"
+_SIGNS = r"!-/:-@\[-`{-~“”‘’«»–—•©®™\t\r\f\x0B\x{A0}"
+#: Punctuation with the spaces around it, and runs of spaces.
+PUNCTUATION = rf" *[{_SIGNS}][{_SIGNS} ]*|  +"
+LINES = " ?\n[ \n]*"
+
+
+def _where(text, held: list[str], pattern: str, one: str):
+    """text with a pattern replaced where it holds one of the strings; text is evaluated once."""
+
+    def changed(t):
+        test = t.contains(held[0])
+        for h in held[1:]:
+            test = test | t.contains(h)
+        return F.when(test, F.regexp_replace(t, pattern, one)).otherwise(t)
+
+    return F.element_at(F.transform(F.array(text), changed), 1)
 
 
 def canonical(text):
-    """A column's canonical text, lines kept apart by one \\n each."""
-    out = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), COPYRIGHT, "")
-    for pattern, one in SAME:
-        out = F.regexp_replace(out, pattern, one)
-    out = F.regexp_replace(out, PUNCTUATION, " ")
-    return F.regexp_replace(F.regexp_replace(out, " *\n[ \n]*", "\n"), "  +", " ")
+    """A column's canonical text, lines kept apart by one \\n each. A pattern runs only
+    over texts that hold what it takes."""
+    out = _where(F.lower(text), COPYRIGHTS, COPYRIGHT, "")
+    for has, pattern, one in SAME:
+        out = _where(out, [has], pattern, one)
+    return F.regexp_replace(F.regexp_replace(out, PUNCTUATION, " "), LINES, "\n")
 
 
 def digest(canon):
@@ -47,7 +62,7 @@ def digest(canon):
 
 
 def whole(canon):
-    return F.trim(F.translate(canon, "\n", " "))
+    return F.trim(F.replace(canon, F.lit("\n"), F.lit(" ")))
 
 
 #: Short notices and one full text; further ones come as rows of the same shape.
@@ -85,14 +100,14 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     none. Other columns are ignored. No rows give no rows; no known texts give no names.
     """
     docs, known = base.lean(docs, "doc_id", "text"), base.lean(known, "licence", "text")
-    known = known.select("licence", digest(whole(canonical(F.col("text")))).alias("digest")).where("digest is not null and licence is not null")
+    known = known.select("licence", canonical(F.col("text")).alias("canon")).select("licence", whole(F.col("canon")).alias("w")).select("licence", digest(F.col("w")).alias("digest")).where("digest is not null and licence is not null")
     known = known.groupBy("digest").agg(F.min("licence").alias("licence"))
     if known.count() <= FEW:
         known = F.broadcast(known)
     canon = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
-    lines = canon.where("doc_id is not null").select("doc_id", F.explode(F.split("canon", "\n")).alias("line")).select("doc_id", digest(F.trim("line")).alias("digest"))
+    lines = canon.where("doc_id is not null").select("doc_id", F.explode(F.split("canon", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).select("doc_id", digest(F.col("line")).alias("digest"))
     notices = lines.join(known, "digest").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.count("*").alias("n_notices"))
-    texts = canon.select("doc_id", digest(whole(F.col("canon"))).alias("digest")).join(known, "digest", "left")
+    texts = canon.select("doc_id", whole(F.col("canon")).alias("w")).select("doc_id", digest(F.col("w")).alias("digest")).join(known, "digest", "left")
     return texts.join(notices, "doc_id", "left").select("doc_id", "digest", "licence", "notices", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
@@ -103,20 +118,19 @@ def sql() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     def canon(column: str) -> str:
-        out = f"regexp_replace(translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(COPYRIGHT)}, '', 'g')"
-        for pattern, one in SAME:
+        out = f"regexp_replace(lower({column}), {quoted(COPYRIGHT)}, '', 'g')"
+        for _, pattern, one in SAME:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(one.replace('$', chr(92)))}, 'g')"
-        out = f"regexp_replace({out}, {quoted(PUNCTUATION)}, ' ', 'g')"
-        return f"regexp_replace(regexp_replace({out}, ' *\\n[ \\n]*', chr(10), 'g'), '  +', ' ', 'g')"
+        return f"regexp_replace(regexp_replace({out}, {quoted(PUNCTUATION)}, ' ', 'g'), ' ?' || chr(10) || '[ ' || chr(10) || ']*', chr(10), 'g')"
 
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in NOTICES)
     return f"""
-WITH known AS (SELECT sha256(trim(translate({canon("t")}, chr(10), ' '))) AS digest, min(n) AS licence FROM (VALUES {known}) v(n, t) GROUP BY 1),
+WITH known AS (SELECT sha256(trim(replace({canon("t")}, chr(10), ' '))) AS digest, min(n) AS licence FROM (VALUES {known}) v(n, t) GROUP BY 1),
 canon AS (SELECT doc_id, {canon("text")} AS canon FROM documents),
 lines AS (SELECT doc_id, trim(unnest(string_split(canon, chr(10)))) AS line FROM canon),
 notices AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(licence))), ',') AS notices, count(*) AS n_notices
   FROM lines JOIN known ON sha256(line) = digest GROUP BY doc_id),
-texts AS (SELECT doc_id, CASE WHEN length(w) > 0 THEN sha256(w) END AS digest FROM (SELECT doc_id, trim(translate(canon, chr(10), ' ')) AS w FROM canon))
+texts AS (SELECT doc_id, CASE WHEN length(w) > 0 THEN sha256(w) END AS digest FROM (SELECT doc_id, trim(replace(canon, chr(10), ' ')) AS w FROM canon))
 SELECT doc_id, digest, licence, notices, coalesce(n_notices, 0) AS n_notices
 FROM texts LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)
 """
