@@ -2,11 +2,13 @@
 
 Coarse centroids and, per subspace, codes of the residuals are fitted on a bounded
 sample; every vector is indexed: in its nearest centroid's inverted list, by its
-residual's codes and the length of what they miss. A vector can only link across a list's
-border if it lies within the link distance of it, so it probes just the lists of which
-that holds, and no link is lost. In a list, asymmetric distances (the query's residual
-against the codes, by table lookup) less what the codes miss bound the true distance
-from below; what stays within the link distance is reranked by the exact cosine.
+residual's codes and the length of what they miss. A link crosses the border between two
+lists by as much of its length as points across it, which in d dimensions is a deviation
+of length / sqrt(d): a vector probes the lists whose border is within SPREAD of these (with
+sqrt(d) or more, all that it can link to). In a list, asymmetric distances (the query's
+residual against the codes, by table lookup) less what the codes miss bound the true
+distance from below, so none is lost there; what stays within the link distance is
+reranked by the exact cosine.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from pyspark.sql import functions as F
 
 from quillon.llm import base, graph
 
-#: Vectors that the quantisers are fitted on at most, and lists at most.
-SAMPLE, LISTS = 8192, 1024
+#: Vectors that the quantisers are fitted on at most, lists at most, and vectors of a list.
+SAMPLE, LISTS, LIST = 32768, 4096, 256
 #: Vectors of a list that one task holds, and queries at once.
 PIECE, QUERIES = 4096, 512
-CODES, SUBSPACE, ROUNDS, SEED = 256, 4, 8, 3
-SLACK = 1e-5
+CODES, SUBSPACE, ROUNDS, SEED = 256, 8, 8, 3
+#: Deviations of a link's part across a border that a probe allows for.
+SPREAD = 3.0
+SLACK = 1e-4
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -97,8 +101,15 @@ def units(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
     return rows, x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _encode(q: Quantiser):
-    """(vec_id, embedding) -> (vec_id, list, radius, missed, codes, unit: float64 bytes)."""
+def _vectors(column: pa.Array, single: bool) -> np.ndarray:
+    """Unit vectors in double from the bytes that _encode() made."""
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32 if single else np.float64).reshape(len(column), -1).astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _encode(q: Quantiser, single: bool):
+    """(vec_id, embedding) -> (vec_id, list, radius, missed, codes, vector): the vector as
+    bytes, in single precision, scaled by a power of two, where it came so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,12 +117,16 @@ def _encode(q: Quantiser):
                 piece = batch.slice(part, 4096)
                 rows, x = units(piece.column(1), q.dim)
                 cell, codes, missed, radius = q.encode(x)
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(rows)), pa.array(cell, pa.int64()), pa.array(radius), pa.array(missed), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "list", "radius", "missed", "codes", "unit"])
+                if single and len(rows):
+                    raw = piece.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                    _, power = np.frexp(np.abs(raw).max(axis=1, initial=0))
+                    x = np.ldexp(raw, -power[:, None])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(rows)), pa.array(cell, pa.int64()), pa.array(radius), pa.array(missed), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "list", "radius", "missed", "codes", "vector"])
 
     return run
 
 
-def _deal(q: Quantiser, pieces: np.ndarray, radii: np.ndarray, reach: float):
+def _deal(q: Quantiser, pieces: np.ndarray, radii: np.ndarray, reach: float, across: float, single: bool):
     """Encoded vectors -> (list, piece, side, own, ...): each to its own piece as side 0,
     and as side 1 to all pieces that it probes. A pair meets once: where the lists
     differ, in the one with the larger number; else in the larger piece."""
@@ -124,11 +139,11 @@ def _deal(q: Quantiser, pieces: np.ndarray, radii: np.ndarray, reach: float):
                 ids, cell = piece.column(0).to_numpy(), piece.column(1).to_numpy()
                 if not len(ids):
                     continue
-                x = np.frombuffer(b"".join(piece.column(5).to_pylist())).reshape(len(ids), -1)
+                x = _vectors(piece.column(5), single)
                 d = nearest(x, q.centres)[1]
                 own = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % pieces[cell]
                 margin = d - d[np.arange(len(ids)), cell][:, None]
-                near = (margin <= 2 * (reach + SLACK) * gaps[cell]) & (np.sqrt(d) <= radii[None] + reach + SLACK)
+                near = (margin <= 2 * (across + SLACK) * gaps[cell]) & (np.sqrt(d) <= radii[None] + reach + SLACK)
                 near &= np.arange(len(pieces))[None] >= cell[:, None]
                 near[np.arange(len(ids)), cell] = True
                 row, goal = np.nonzero(near)
@@ -141,22 +156,22 @@ def _deal(q: Quantiser, pieces: np.ndarray, radii: np.ndarray, reach: float):
                 side = np.append(np.zeros(len(ids), np.int32), np.ones(len(row) - len(ids), np.int32))
                 same = (side == 1) & (goal == cell[row]) & (at == own[row])
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(goal), pa.array(at), pa.array(side), pa.array(same), *(piece.column(k).take(take) for k in (0, 3, 4, 5))], names=["list", "piece", "side", "same", "vec_id", "missed", "codes", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(goal), pa.array(at), pa.array(side), pa.array(same), *(piece.column(k).take(take) for k in (0, 3, 4, 5))], names=["list", "piece", "side", "same", "vec_id", "missed", "codes", "vector"])
 
     return run
 
 
 def match(q: Quantiser, cell: int, codes: np.ndarray, missed: np.ndarray, x: np.ndarray, queries: np.ndarray, at_least: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, indexed) numbers of the links between queries and a piece of a list."""
-    d = np.zeros((len(queries), len(x)))
+    d = np.zeros((len(queries), len(x)), dtype=np.float32)
     for m, t in enumerate(q.tables(queries, cell)):
-        d += t[:, codes[:, m]]
+        d += t.astype(np.float32)[:, codes[:, m]]
     a, b = np.nonzero(np.sqrt(d) - missed[None] <= reach + SLACK)
     keep = np.einsum("ij,ij->i", queries[a], x[b]) >= at_least if len(a) < 1 << 17 else np.concatenate([np.einsum("ij,ij->i", queries[a[i : i + (1 << 17)]], x[b[i : i + (1 << 17)]]) for i in range(0, len(a), 1 << 17)]) >= at_least
     return a[keep], b[keep]
 
 
-def _match(q: Quantiser, at_least: float, reach: float):
+def _match(q: Quantiser, at_least: float, reach: float, single: bool):
     """Dealt rows, sorted by (list, piece, side) -> (u, v, n): how many links u has here
     (v null), and a spanning set of the links u, v (n = 0)."""
 
@@ -208,7 +223,7 @@ def _match(q: Quantiser, at_least: float, reach: float):
                 part = batch.slice(a, e - a)
                 ids, missed = part.column(4).to_numpy(), part.column(5).to_numpy()
                 codes = np.frombuffer(b"".join(part.column(6).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-                x = np.frombuffer(b"".join(part.column(7).to_pylist())).reshape(len(ids), -1)
+                x = _vectors(part.column(7), single)
                 if side[a] == 0:
                     held.append((ids, codes, missed, x))
                     continue
@@ -226,7 +241,7 @@ def _match(q: Quantiser, at_least: float, reach: float):
     return run
 
 
-def link_vectors(vectors: DataFrame, at_least: float = 0.9, sample: int = SAMPLE) -> DataFrame:
+def link_vectors(vectors: DataFrame, at_least: float = 0.9, sample: int = SAMPLE, spread: float = SPREAD) -> DataFrame:
     """vectors(vec_id long, embedding array of numbers, ...) -> (vec_id, n_links,
     component_id, kept), a row per input row. Two vectors link if their cosine, in double
     precision, is at least ``at_least`` (above 0); n_links: to how many others a vector
@@ -237,7 +252,8 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.9, sample: int = SAMPLE
     (component_id and kept are null). Rows that share a vec_id do not link with each other,
     and n_links is that of all of them together. Other columns are ignored; no rows give
     no rows. The quantisers are fitted on at most ``sample`` vectors, taken by a hash of
-    vec_id; all are indexed.
+    vec_id; all are indexed. ``spread``: see the module; the square root of the vectors'
+    length finds every link.
     """
     spark = vectors.sparkSession
     base.tune(spark)
@@ -249,15 +265,17 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.9, sample: int = SAMPLE
     x = units(some.column(1).combine_chunks(), None)[1] if some.num_rows else np.empty((0, 0))
     if not len(x):
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
-    lists = int(min(LISTS, max(1, usable.count() // (PIECE // 4), 1), max(1, len(x) // 8)))
+    lists = int(min(LISTS, max(1, usable.count() // LIST), max(1, len(x) // 8)))
     q = fit(x, lists)
-    encoded = base.written(base.mapped(usable, _encode(q), "vec_id long, list long, radius double, missed double, codes binary, unit binary"), "codes")
+    single = "float" in vectors.schema["embedding"].dataType.simpleString()
+    across = reach * min(1.0, spread / q.dim**0.5)
+    encoded = base.written(base.mapped(usable, _encode(q, single), "vec_id long, list long, radius double, missed double, codes binary, vector binary"), "codes")
     pieces, radii = np.ones(len(q.centres), dtype=np.int64), np.zeros(len(q.centres))
     for r in encoded.groupBy("list").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect():
         pieces[r["list"]], radii[r["list"]] = -(-r["n"] // PIECE), r["radius"]
-    dealt = base.mapped(encoded, _deal(q, pieces, radii, reach), "list long, piece long, side int, same boolean, vec_id long, missed double, codes binary, unit binary")
+    dealt = base.mapped(encoded, _deal(q, pieces, radii, reach, across, single), "list long, piece long, side int, same boolean, vec_id long, missed double, codes binary, vector binary")
     dealt = dealt.repartition(n, "list", "piece").sortWithinPartitions("list", "piece", "side")
-    found = base.written(base.mapped(dealt, _match(q, at_least, reach), "u long, v long, n long"), "found")
+    found = base.written(base.mapped(dealt, _match(q, at_least, reach, single), "u long, v long, n long"), "found")
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "vec_id")
     roots = graph.components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "vec_id")
     out = vectors.select("vec_id").join(counts, "vec_id", "left").join(roots, "vec_id", "left")
