@@ -45,7 +45,7 @@ def evicted(keys: DataFrame, access: DataFrame, limit: int, protected: str | Non
     The running sums come from a range sort: sums inside partitions, shifted by those of
     the partitions before, of which there is one row each.
     """
-    used = keys.agg(F.sum("memory").alias("used"))
+    used = keys.agg(F.sum("memory").alias("used")).withColumn("one", F.lit(1))
     pool = keys.join(access.select("key", "access_count"), "key").where(F.col("access_count").isNotNull())
     if protected is not None:
         pool = pool.where(F.col("key") != protected)
@@ -54,7 +54,7 @@ def evicted(keys: DataFrame, access: DataFrame, limit: int, protected: str | Non
     before_here = F.coalesce(F.sum("memory").over(W.partitionBy("part").orderBy("access_count", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = dealt.groupBy("part").agg(F.sum("memory").alias("size"))
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    sums = dealt.withColumn("before", before_here).join(F.broadcast(offsets), "part").crossJoin(F.broadcast(used))
+    sums = dealt.withColumn("before", before_here).join(F.broadcast(offsets), "part").withColumn("one", F.lit(1)).join(F.broadcast(used), "one")
     return sums.where(F.col("used") - F.col("before") - F.col("offset") > limit).select("key")
 
 
@@ -91,6 +91,20 @@ def metrics(keys: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def info(keys: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: (n_keys, memory, n_commands, n_slow)."""
+    one = F.lit(1).alias("one")
+    a = keys.agg(F.count("*").alias("n_keys"), F.coalesce(F.sum("memory"), F.lit(0)).alias("memory")).select("*", one)
+    b = log.agg(F.count("*").alias("n_commands"), F.count_if(F.col("duration_ns") > 1_000_000).alias("n_slow")).select("*", one)
+    return a.join(F.broadcast(b), "one").drop("one")
+
+
+def settings(keys_limit: int | None, spark) -> DataFrame:
+    """CONFIG GET: (name, value) of the memory limit, the eviction policy and Spark's own settings."""
+    own = [("maxmemory", str(keys_limit or 0)), ("eviction", "allkeys-lru")]
+    return spark.createDataFrame(own + sorted(spark.sparkContext.getConf().getAll()), "name string, value string")
+
+
 def prometheus(df: DataFrame) -> DataFrame:
     """(line): text exposition of metrics()."""
     return df.select(F.format_string('%s{label="%s"} %s', "name", "label", F.col("value").cast("string")).alias("line"))
@@ -144,4 +158,4 @@ def namespace_stats(keys: DataFrame) -> DataFrame:
     return keys.groupBy(ns.alias("ns")).agg(F.count("*").alias("n_keys"), F.sum("memory").alias("memory"))
 
 
-__all__ = ["Namespaces", "accesses", "evicted", "expire", "hotkeys", "memory_by_type", "metrics", "namespace_stats", "prometheus", "purged", "ranked", "slowlog", "stats", "ttl"]
+__all__ = ["Namespaces", "accesses", "evicted", "expire", "hotkeys", "info", "memory_by_type", "metrics", "namespace_stats", "prometheus", "purged", "ranked", "settings", "slowlog", "stats", "ttl"]

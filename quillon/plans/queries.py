@@ -259,6 +259,18 @@ def _validated(definition: dict[str, str]) -> Build:
 add("schema_validate", _validated(_USER), "SELECT key, '' AS errors FROM json", "json")
 add("schema_validate_wrong", _validated(_WRONG), "SELECT key, 'user: expected string;size: missing;tags: unknown' AS errors FROM json", "json")
 
+
+
+def _typed(ks: Keyspace) -> DataFrame:
+    """Strings that are typed envelopes, beside plain ones."""
+    typed = ks.json.select("key", F.concat(F.lit('{"schema_name":"event","data":'), F.col("doc"), F.lit("}")).alias("value"))
+    return typed.unionByName(ks.strings)
+
+
+add("tget_field", lambda ks: schema.tget(_typed(ks), "user").where("key like 'event:%'"), "SELECT key, json_extract_string(doc, '$.user') AS value FROM json", "json")
+add("tget_plain", lambda ks: schema.tget(_typed(ks)).where("key not like 'event:%'"), "SELECT key, value FROM strings", "strings")
+add("tkeys", lambda ks: schema.tkeys(_typed(ks), "event:1"), "SELECT key FROM json WHERE starts_with(key, 'event:1')", "json")
+
 # lifecycle
 _TTL = ["customer:3:name", "customer:21:name", "customer:22:name", "customer:24:name", "nobody"]
 add("ttl_as_of", lambda ks: lifecycle.ttl(_keys(ks), _TTL), f"SELECT a AS key, coalesce(ttl, -2) AS ttl FROM (SELECT unnest({_TTL!r}) AS a) x LEFT JOIN keys ON a = key", "keys")
@@ -293,9 +305,21 @@ def _events(name: str, build: Callable[[DataFrame], DataFrame], query: str | Non
 _events("hotkeys", lambda df: lifecycle.hotkeys(lifecycle.accesses(df)), "SELECT key, count(*) AS access_count FROM log GROUP BY key ORDER BY 2 DESC, key LIMIT 5")
 _events("stats_by_cmd", lambda df: _rounded(lifecycle.stats(df), "avg_ns"), "SELECT op, count(*) AS calls, round(avg(duration_ns), 6) AS avg_ns FROM log GROUP BY op")
 _events("slowlog", lambda df: lifecycle.slowlog(df), "SELECT * FROM log WHERE duration_ns > 1000000 ORDER BY seq DESC LIMIT 128")
-add("ns_stats", lambda ks: lifecycle.namespace_stats(_keys(ks)), "SELECT split_part(key, ':', 1) AS ns, count(*) AS n_keys, CAST(sum(memory) AS BIGINT) AS memory FROM keys GROUP BY 1", "keys")
 
-_OPS = {"click": "SADD", "view": "SET", "purchase": "APPEND", "signup": "DEL", "error": "ZADD"}
+
+def _with_log(name: str, build: Callable[[DataFrame, DataFrame], DataFrame], query: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = spark.read.parquet(f"{sf_dir}/events.parquet")
+        commands = e.select(F.col("event_id").alias("seq"), F.upper("event_type").alias("op"), F.floor(F.col("value") * 40000).alias("duration_ns"))
+        return build(_keys(keyspace.from_tables(spark, sf_dir)), commands)
+
+    QUERIES[name] = run
+    ORACLE[name] = oracle(query, "keys").replace("WITH ", f"WITH log AS ({_LOG}), ", 1)
+
+
+_with_log("info", lifecycle.info, "SELECT n_keys, memory, n_commands, n_slow FROM (SELECT count(*) AS n_keys, CAST(sum(memory) AS BIGINT) AS memory FROM keys), (SELECT count(*) AS n_commands, count(*) FILTER (duration_ns > 1000000) AS n_slow FROM log)")
+_with_log("metrics", lifecycle.metrics, "SELECT 'keys_total' AS name, type AS label, CAST(count(*) AS DOUBLE) AS value FROM keys GROUP BY type UNION ALL SELECT 'memory_bytes', type, CAST(sum(memory) AS DOUBLE) FROM keys GROUP BY type UNION ALL SELECT 'commands_total', op, CAST(count(*) AS DOUBLE) FROM log GROUP BY op")
+add("ns_stats", lambda ks: lifecycle.namespace_stats(_keys(ks)), "SELECT split_part(key, ':', 1) AS ns, count(*) AS n_keys, CAST(sum(memory) AS BIGINT) AS memory FROM keys GROUP BY 1", "keys")
 
 
 def _log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
