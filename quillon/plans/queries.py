@@ -294,7 +294,7 @@ _LOG = "SELECT event_id AS seq, upper(event_type) AS op, 'user:' || user_id AS k
 
 def _events(name: str, build: Callable[[DataFrame], DataFrame], query: str | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = spark.read.parquet(f"{sf_dir}/events.parquet")
+        e = keyspace.source(spark, sf_dir, "events")
         return build(e.select(F.col("event_id").alias("seq"), F.upper("event_type").alias("op"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), F.floor(F.col("value") * 40000).alias("duration_ns")))
 
     QUERIES[name] = run
@@ -309,7 +309,7 @@ _events("slowlog", lambda df: lifecycle.slowlog(df), "SELECT * FROM log WHERE du
 
 def _with_log(name: str, build: Callable[[DataFrame, DataFrame], DataFrame], query: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = spark.read.parquet(f"{sf_dir}/events.parquet")
+        e = keyspace.source(spark, sf_dir, "events")
         commands = e.select(F.col("event_id").alias("seq"), F.upper("event_type").alias("op"), F.floor(F.col("value") * 40000).alias("duration_ns"))
         return build(_keys(keyspace.from_tables(spark, sf_dir)), commands)
 
@@ -324,7 +324,7 @@ add("ns_stats", lambda ks: lifecycle.namespace_stats(_keys(ks)), "SELECT split_p
 
 def _log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as commands: the op by user and event, the key by user."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = keyspace.source(spark, sf_dir, "events")
     op = F.element_at(F.array(*(F.lit(x) for x in ("SET", "APPEND", "SADD", "SREM", "HSET", "ZADD", "RPUSH", "LPUSH", "LPOP", "LTRIM"))), (F.col("event_id") % 10 + 1).cast("int"))
     op = F.when(F.col("event_id") % 97 == 0, "DEL").otherwise(op)
     v = F.col("event_id").cast("string")
@@ -358,7 +358,7 @@ _fold("aof_write_filter", lambda df: df.where(log.is_write(F.col("op"))).groupBy
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.streaming.series import windowed
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    e = keyspace.source(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return windowed(e, "1 day", "count", "max", slide="12 hours").select("key", F.unix_seconds("start").alias("start_s"), "count", "max")
 
 
@@ -369,7 +369,7 @@ ORACLE["ts_sliding_window"] = "SELECT event_type AS key, s AS start_s, count(*)
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.streaming.series import sessions
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    e = keyspace.source(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     return sessions(e, "12 hours").groupBy("key").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 

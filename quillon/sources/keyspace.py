@@ -67,6 +67,19 @@ def load(spark: SparkSession, path: str) -> Keyspace:
     return Keyspace(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()})
 
 
+#: Columns of the test tables that the canonical keyspace takes; stated, they need no look into files.
+SOURCES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SOURCES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 #: The instant as of which the registered queries judge expiry (2024-01-01, in ms).
 AS_OF = 1_704_067_200_000
 
@@ -75,7 +88,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Keyspace:
     """The canonical keyspace over the test tables; its oracle twin is CTES."""
 
     def t(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return source(spark, sf_dir, name)
 
     customer, events, orders = t("customer"), t("events"), t("orders")
     nation = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
