@@ -37,9 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats of passages of 50 words go; a document of which nothing is left goes. Others
     keep their text as it is."""
-    cut = cut_repeats(docs, carry=tuple(docs.columns)).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carried.n_chars"))}
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = cut_repeats(docs, carry=rest, layout=True).where("n_removed = 0 or n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carried.n_chars"))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": n_chars}
     return cut.select(*(new.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 
 

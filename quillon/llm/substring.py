@@ -126,10 +126,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(window: int):
     """(doc_id, text, symbols) -> (hash, doc_id, at): the windows whose inner symbols, those
-    that they have wherever they stand, are all among the given ones."""
+    that they have wherever they stand, are all among the given ones; of equal windows
+    of a text the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             ids = batch.column(0).to_pylist()
             marks = batch.column(2)
             for chunk in W.chunks(range(len(batch)), W.column(batch, "text")):
@@ -143,9 +145,10 @@ def _windows(window: int):
                     here, there = lead[a : e - window + 1] - low, tail[a + window - 1 : e] - low
                     start = np.flatnonzero((here >= there) | (alone[np.minimum(here, high - low)] == alone[np.clip(there, 0, high - low)]))
                     if len(start):
-                        out[0].append(W.rolling(chunk.hashes[a:e], start, start + window).view(np.int64))
-                        out[1].append(np.full(len(start), ids[int(row)]))
-                        out[2].append(start)
+                        h, first = np.unique(W.rolling(chunk.hashes[a:e], start, start + window).view(np.int64), return_index=True)
+                        out[0].append(h)
+                        out[1].append(np.full(len(h), ids[int(row)]))
+                        out[2].append(start[first])
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["hash", "doc_id", "at"])
 
@@ -168,7 +171,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(at[later])], names=["doc_id", "at"])
 
 
-def _cut(window: int, kinds: pa.Schema):
+def _cut(window: int, layout: bool, kinds: pa.Schema):
     """(doc_id, text, starts, head, ...) -> what is kept, the spans of words that go, and
     the further columns."""
 
@@ -183,7 +186,10 @@ def _cut(window: int, kinds: pa.Schema):
                 if heads[i] is not None and n >= window:
                     spans = [(0, n)]
                 elif starts[i].is_valid:
-                    at = np.sort(starts[i].values.to_numpy())
+                    hashes = W.Chunk(np.zeros(1), [text], False).hashes
+                    every = np.arange(n - window + 1)
+                    every = W.rolling(hashes, every, every + window)
+                    at = np.flatnonzero(np.isin(every, every[starts[i].values.to_numpy()]))
                     new = np.append(True, at[1:] > at[:-1] + window)
                     first = np.flatnonzero(new)
                     spans = list(zip(at[first].tolist(), (at[np.append(first[1:] - 1, len(at) - 1)] + window).tolist(), strict=True))
@@ -192,7 +198,7 @@ def _cut(window: int, kinds: pa.Schema):
                     kept += words[left:a]
                     left = b
                 kept += words[left:]
-                out[0].append(b" ".join(kept).decode())
+                out[0].append((b" ".join(kept) if spans or not layout else text or b"").decode())
                 out[1].append(n)
                 out[2].append(n - len(kept))
                 out[3].append([{"start": a, "end": b} for a, b in spans])
@@ -206,12 +212,13 @@ SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 CUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(SPAN)), ("carried", pa.null())])
 
 
-def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW, carry: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
     """docs(doc_id long, text string, ...) -> (doc_id, kept string, n_words, n_removed,
     spans array<struct<start, end>>), a row per input row. A word goes if a window of
     ``window`` consecutive words (50 or more) covers it whose words also stand, in this
     order, in a document with a smaller doc_id; all windows are judged on the input.
-    kept: the other words, joined by one space; spans: the places of what went.
+    kept: the other words, joined by one space (with ``layout``, a text of which nothing
+    goes as it is); spans: the places of what went.
 
     Null and empty texts have no words. A row with a null doc_id keeps all its words and
     takes none from others. Rows with one doc_id don't cut each other. Of other columns,
@@ -236,7 +243,9 @@ def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW, carry: tuple[str, .
 
     texts = docs.repartition(n, "doc_id")  # one exchange, read twice
     more = ["carried"] if carry else []
-    found = texts.join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "symbols", *more)
+    # a left join, and rows without symbols left out behind it, so that both read the same exchange
+    marked = texts.join(marks.hint("shuffle_hash"), "doc_id", "left")
+    found = marked.select("doc_id", *(F.when(F.col("symbols").isNotNull(), F.col(c)).alias(c) for c in ("text", "symbols", *more)))
     found = base.mapped(found, _windows(window), "hash long, doc_id long, at long")
     found = found.repartition(n, "hash").sortWithinPartitions("hash", "doc_id")
     later = base.mapped(found, _later, "doc_id long, at long")
@@ -244,4 +253,4 @@ def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW, carry: tuple[str, .
     out = texts.join(starts.hint("shuffle_hash"), "doc_id", "left").join(copies.hint("shuffle_hash"), "doc_id", "left")
     kinds = T.StructType.fromDDL("doc_id long, kept string, n_words long, n_removed long, spans array<struct<start: bigint, end: bigint>>")
     kinds = T.StructType([*kinds.fields, *(f for f in texts.schema.fields if f.name in more)])
-    return base.mapped(out.select("doc_id", "text", "starts", "head", *more), _cut(window, CUT), kinds)
+    return base.mapped(out.select("doc_id", "text", "starts", "head", *more), _cut(window, layout, CUT), kinds)
