@@ -60,14 +60,22 @@ def components(links: DataFrame) -> DataFrame:
     def figures(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    n = base.parts(edges.sparkSession)
+
+    def read(df: DataFrame, rows: int) -> DataFrame:
+        """The shuffled rows, in fewer tasks where they are few for as many partitions."""
+        tasks = max(2, rows // 16384)
+        return df.coalesce(tasks) if tasks < n else df
+
     before = figures(edges)
     while before[0]:
         both = edges.union(edges.select(v, u)).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(v > u).select(v.alias("u"), m.alias("v")).where(u != v).distinct()
+        large = both.join(least, "u").where(v > u).select(v.alias("u"), m.alias("v")).where(u != v)
+        large = read(read(large, before[0]).distinct(), before[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(v != m).select(v.alias("u"), m.alias("v")).union(least.select(u, m)).distinct()
-        new = base.written(small, "links")
+        small = large.join(least, "u").where(v != m).select(v.alias("u"), m.alias("v")).union(least.select(u, m))
+        new = base.written(read(read(small, before[0]).distinct(), before[0]), "links")
         base.drop(edges)
         edges, after = new, figures(new)
         if after == before:

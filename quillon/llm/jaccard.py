@@ -2,11 +2,15 @@
 
 1.  Every text becomes its set of shingle hashes. Documents with equal sets are one
     class; from here on its smallest id stands for it.
-2.  Routing, so that any two sets that can link meet: a size band has m parts of the
-    hash range, where m is more than the elements in which two linked sets of that band
-    can differ, so that linked sets agree on a whole part. A set is routed by the hashes
-    of its parts; those that share one are tied to the least of them, and what these
-    ties connect is a block. No pairs are made.
+2.  A set that links with another has most of its elements in common with others. How
+    many of its elements occur in another set is counted exactly enough (by 40 or 48 bits
+    of their hashes, which can only make it more): sets with too few go no further. What
+    stays is counted once more, among itself.
+    Routing of the rest, so that any two sets that can link meet: a size band has m parts
+    of the hash range, where m is more than the elements in which two linked sets of that
+    band can differ, so that linked sets agree on a whole part. A set is routed by the
+    hashes of its parts; those that share one are tied to the least of them, and what
+    these ties connect is a block. No pairs are made.
 3.  In a block, each set is searched in an inverted index: the lists of its elements are
     divided into long and short ones, the short ones heap-merged with skips, what occurs
     often enough there is probed for in the long ones by bisection, and sets with the
@@ -34,7 +38,7 @@ from quillon.llm import base, graph
 from quillon.llm import words as W
 
 #: Elements of a block, and of a piece of a larger block, that one task holds.
-PIECE = 1 << 20
+PIECE = 1 << 21
 #: Ids that are broadcast at most (8 MB); beyond, both sides are shuffled.
 BROADCAST_IDS = 1 << 20
 
@@ -220,27 +224,170 @@ def block_links(index_ids: list[int], index_sets: list[np.ndarray], query_ids: l
     return links
 
 
-def _describe(width: int, at_least: Fraction):
-    """(doc_id, text) -> (doc_id, n, key: 16 bytes that name the set, parts: its routing hashes)."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("parts", pa.list_(pa.int64()))])
+def _describe(width: int):
+    """(doc_id, text) -> (doc_id, n, key: 16 bytes that name the set, null for empty ones,
+    short: 8 others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in W.chunks(range(len(batch)), W.column(batch, "text"), lower=True):
+                found = list(shingle_sets(chunk, width))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in found])), pa.array([len(s) for _, s in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for _, s in found], pa.binary()), pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for _, s in found], dtype=np.uint64).view(np.int64))], names=["doc_id", "n", "key", "short"])
+
+    return run
+
+
+#: Elements that a task collects before it packs them.
+PACK = 1 << 20
+
+
+def _starts(ranges: int, bits: int) -> np.ndarray:
+    return np.array([-((-i << bits) // ranges) for i in range(ranges)], dtype=np.uint64)
+
+
+def pack(elements: np.ndarray, owner: np.ndarray, ranges: int, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, owners, differences) of elements by equal ranges of their upper bits, sorted;
+    differences to the one before, or to the range's start, in the fewest bytes that hold all."""
+    order = np.argsort(elements, kind="stable")
+    top, owner = elements[order] >> np.uint64(64 - bits), owner[order]
+    starts = _starts(ranges, bits)
+    cut = np.append(np.searchsorted(top, starts), len(top))
+    for i in range(ranges):
+        a, e = cut[i], cut[i + 1]
+        if a < e:
+            step = np.diff(top[a:e], prepend=starts[i])
+            size = max(1, -(-int(step.max()).bit_length() // 8))
+            yield i, owner[a:e].tobytes(), step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpack(number: int, ranges: int, bits: int, owners: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    owner = np.frombuffer(owners, dtype=np.uint16)
+    step = np.zeros((len(owner), 8), dtype=np.uint8)
+    step[:, : len(steps) // len(owner)] = np.frombuffer(steps, dtype=np.uint8).reshape(len(owner), -1)
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) + _starts(ranges, bits)[number], owner
+
+
+def _ranges(width: int, ranges: int, bits: int):
+    """(text) -> (range, pack, keys, owners, steps). A pack is some sets; one of its rows has
+    the 8-byte keys of all of them, the others 16-bit numbers of sets beside their elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys = np.array(list(sets), dtype=np.uint64).tobytes()
+            name = xxhash.xxh3_64_intdigest(keys) >> 1
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets.values()])
+            rows = [(name % ranges, keys, None, None)]
+            rows += [(i, None, owners, steps) for i, owners, steps in pack(np.concatenate(list(sets.values())), owner, ranges, bits)]
+            for k in range(0, len(rows), 64):
+                number, *blobs = zip(*rows[k : k + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([name] * len(number), pa.int64()), *(pa.array(c, pa.binary()) for c in blobs)], names=["range", "pack", "keys", "owners", "steps"])
+            sets.clear()
+
+        for batch in batches:
+            for chunk in W.chunks(range(len(batch)), W.column(batch, "text"), lower=True):
+                for _, s in shingle_sets(chunk, width):
+                    key = xxhash.xxh3_64_intdigest(s.tobytes())
+                    if len(s) and key not in sets:
+                        sets[key] = s
+                        held += len(s)
+                        if held >= PACK or len(sets) == 1 << 16:
+                            yield from flush()
+                            held = 0
+        if sets:
+            yield from flush()
+
+    return run
+
+
+def _common(ranges: int, bits: int):
+    """Rows of _ranges(), sorted by range -> (pack, keys, owners, counts): of each row the sets
+    with elements that other sets have too, and how many; rows of keys as they are. Equal sets
+    of two packs count as others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def row(name: int, keys: bytes | None, owners: bytes | None, counts: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys, owners, counts))], names=["pack", "keys", "owners", "counts"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            top = np.concatenate([t for _, t, _ in held])
+            source = np.repeat(np.arange(len(held)), [len(t) for _, t, _ in held])
+            owner = np.concatenate([o for *_, o in held])
+            order = np.argsort(top, kind="stable")
+            new = top[order][1:] != top[order][:-1]
+            first = np.append(True, new)
+            alone = first & np.append(new, True)  # a set has an element once
+            common = np.zeros(len(top), dtype=bool)
+            common[order] = ~alone
+            bound = np.searchsorted(source, np.arange(len(held) + 1))
+            for k, (name, *_) in enumerate(held):
+                here = slice(bound[k], bound[k + 1])
+                owners, counts = np.unique(owner[here][common[here]], return_counts=True)
+                if len(owners):
+                    yield row(name, None, owners.astype(np.uint16).tobytes(), counts.astype(np.uint32).tobytes())
+            held.clear()
+
+        for batch in batches:
+            for number, name, keys, owners, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != now and held:
+                    yield from done()
+                now = number
+                if keys is not None:
+                    yield row(name, keys, None, None)
+                else:
+                    held.append((name, *unpack(number, ranges, bits, owners, steps)))
+        if held:
+            yield from done()
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _common(), sorted by pack -> (key, n): over all ranges, how many of a set's
+    elements other sets have. A pack that a table holds twice is summed twice over."""
+    now, keys, total = None, None, np.zeros(1 << 16, dtype=np.int64)
+
+    def done() -> pa.RecordBatch:
+        k = np.frombuffer(keys or b"", dtype=np.uint64)
+        out = pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(total[: len(k)].copy())], names=["key", "n"])
+        total[:] = 0
+        return out
+
+    for batch in batches:
+        for name, names, owners, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != now:
+                if now is not None:
+                    yield done()
+                now, keys = name, None
+            if names is not None:
+                keys = names
+            else:
+                total[np.frombuffer(owners, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint32)
+    if now is not None:
+        yield done()
+
+
+def _route(width: int, at_least: Fraction):
+    """(doc_id, text) -> (part, doc_id): a set's routing hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bands(at_least, 1 << 20)
         for batch in batches:
-            ids = batch.column(0)
+            ids = batch.column(0).to_numpy()
             for chunk in W.chunks(range(len(batch)), W.column(batch, "text"), lower=True):
-                rows, ns, keys, parts, sizes = [], [], [], [], [0]
+                parts, owner = [], []
                 for row, s in shingle_sets(chunk, width):
                     while len(s) >= table[-1][0]:
                         table = bands(at_least, 2 * len(s))
-                    rows.append(row)
-                    ns.append(len(s))
-                    keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     if len(s):
-                        parts.append(signatures(s, at_least, table))
-                    sizes.append(sizes[-1] + (len(parts[-1]) if len(s) else 0))
-                flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], schema=kinds)
+                        parts.append(signatures(s, at_least, table).view(np.int64))
+                        owner.append(np.full(len(parts[-1]), ids[row]))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(owner))], names=["part", "doc_id"])
 
     return run
 
@@ -320,19 +467,35 @@ def jaccard_classes(docs: DataFrame, width: int = 5, at_least: float = 0.8, piec
     base.tune(spark)
     ratio = Fraction(at_least).limit_denominator(10_000)
     docs = base.lean(docs, "doc_id", "text")
-    seen = base.written(base.mapped(docs, _describe(width, ratio), "doc_id long, n long, key binary, parts array<long>"), "sets")
-    classes = seen.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head"))
-    first = seen.where("n > 0").join(classes.select(F.col("head").alias("doc_id"), F.col("key").alias("k")), "doc_id", "inner").where("key = k")
+    seen = base.written(base.mapped(docs, _describe(width), "doc_id long, n long, key binary, short long"), "sets")
+    classes = seen.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("short").alias("short"))
+
+    # 40 bits tell 2**33 elements apart but for one in 128
+    ranges, bits = 2 * base.parts(spark), 40 if (seen.agg(F.sum("n")).first()[0] or 0) < 1 << 33 else 48
+
+    def enough(texts: DataFrame) -> DataFrame:
+        """(doc_id, n) of class heads with enough elements that other texts' sets have."""
+        packed = base.mapped(texts.select("text"), _ranges(width, ranges, bits), "range int, pack long, keys binary, owners binary, steps binary")
+        packed = packed.repartition(base.parts(spark), "range").sortWithinPartitions("range")
+        counted = base.mapped(packed, _common(ranges, bits), "pack long, keys binary, owners binary, counts binary")
+        counted = counted.repartition(base.parts(spark), "pack").sortWithinPartitions("pack")
+        common = base.mapped(counted, _sums, "key long, n long").groupBy("key").agg(F.max("n").alias("common"))
+        heads = classes.select("head", "n", "short").join(common.withColumnRenamed("key", "short"), "short")
+        return base.written(heads.where(F.col("common") >= F.ceil(F.col("n") * ratio.numerator / ratio.denominator)).select(F.col("head").alias("doc_id"), "n"), "heads")
+
+    def chosen(ids: DataFrame) -> DataFrame:
+        return docs.where("doc_id is not null").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+
+    first = enough(chosen(enough(docs.where("doc_id is not null"))))
 
     # whole sets that agree on a part are tied to the least of them
-    posts = first.select(F.explode("parts").alias("part"), "doc_id").repartition(base.parts(spark), "part").sortWithinPartitions("part", "doc_id")
+    posts = base.mapped(chosen(first).select("doc_id", "text"), _route(width, ratio), "part long, doc_id long").repartition(base.parts(spark), "part").sortWithinPartitions("part", "doc_id")
     blocks = base.written(graph.components(base.mapped(posts, tie, "u long, v long")).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
 
     # a large block: pieces against pieces, in as many tasks
     sized = blocks.join(first.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.ceil(F.sum("n") / piece).alias("pieces"))
     blocks = base.written(blocks.join(sized, "block"), "blocks")
-    few = blocks.count() <= BROADCAST_IDS
-    texts = docs.where("doc_id is not null").join(F.broadcast(blocks) if few else blocks, "doc_id")
+    texts = chosen(blocks)
     own, other = F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
     sets = base.mapped(texts.select("block", own.alias("own"), "pieces", "doc_id", "text"), _members(width), "block long, own long, pieces long, doc_id long, elements binary")
     a, b = F.least("own", "other"), F.greatest("own", "other")
@@ -342,4 +505,4 @@ def jaccard_classes(docs: DataFrame, width: int = 5, at_least: float = 0.8, piec
     roots = graph.components(links)
 
     heads = classes.join(roots.select(F.col("node").alias("head"), "component"), "head", "left").select("key", F.coalesce("component", "head").alias("component"))
-    return seen.join(heads, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return seen.join(heads, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -62,12 +62,16 @@ def test_common_elements_are_counted_per_set():
     for _, s in jaccard.shingle_sets(chunk, 3):
         if len(s):
             sets[jaccard.xxhash.xxh3_64_intdigest(s.tobytes())] = set(s.tolist())
+    def table(rows):
+        kinds = {"range": pa.int32(), "pack": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(k, pa.binary())) for k in rows[0]], names=list(rows[0]))
+
     rows = [r for b in jaccard._ranges(3, 5, 40)([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])]) for r in b.to_pylist()]
-    rows.sort(key=lambda r: r["range"])
-    table = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in (("range", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("steps", pa.binary()))], names=["range", "keys", "owners", "steps"])
-    got = defaultdict(int)
-    for key, n in collected(jaccard._common(5, 40)([table.slice(i, 2) for i in range(0, len(rows), 2)])):
-        got[key % 2**64] += n
+    packed = table(sorted(rows, key=lambda r: r["range"]))
+    counted = [r for b in jaccard._common(5, 40)([packed.slice(i, 2) for i in range(0, len(rows), 2)]) for r in b.to_pylist()]
+    counted = table(sorted(counted, key=lambda r: r["pack"]))
+    got = {key % 2**64: n for key, n in collected(jaccard._sums([counted.slice(i, 3) for i in range(0, len(counted), 3)]))}
+    assert set(got) == set(sets)
     for key, s in sets.items():
         others = set().union(*(o for k, o in sets.items() if k != key))
-        assert got.get(key, 0) == len(s & others)
+        assert got[key] == len(s & others)
