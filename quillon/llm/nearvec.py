@@ -3,9 +3,9 @@
 Coarse centroids and, per subspace, codes of the residuals are fitted on a bounded
 sample; every vector is indexed: in its nearest centroid's inverted list, by its
 residual's codes and the length of what they miss. A link crosses the border between two
-lists by as much of its length as points across it, which in d dimensions is a deviation
-of length / sqrt(d): a vector probes the lists whose border is within SPREAD of these (with
-sqrt(d) or more, all that it can link to). In a list, asymmetric distances (the query's
+lists by at most its length, and in vectors of low rank often by most of it: a vector
+probes all lists whose border is within the link distance, and goes to each group of lists
+once, with the numbers of those that it probes. In a list, asymmetric distances (the query's
 residual against the codes, by table lookup) less what the codes miss bound the true
 distance from below, so none is lost there; what stays within the link distance is
 reranked by the exact cosine.
@@ -25,11 +25,11 @@ from quillon.llm import base, graph
 
 #: Vectors that the quantisers are fitted on at most, lists at most, and vectors of a list.
 SAMPLE, LISTS, LIST = 32768, 4096, 256
-#: Vectors of a list that one task holds, and queries at once.
+#: Vectors of a piece of a list, and of a group of pieces, that one task holds, and queries at once.
 PIECE, QUERIES = 4096, 512
 CODES, SUBSPACE, ROUNDS, SEED = 256, 8, 8, 3
-#: Deviations of a link's part across a border that a probe allows for.
-SPREAD = 3.0
+#: Rows that leave a task at once.
+ROWS = 1 << 14
 SLACK = 1e-4
 
 
@@ -126,11 +126,13 @@ def _encode(q: Quantiser, single: bool):
     return run
 
 
-def _deal(q: Quantiser, pieces: np.ndarray, radii: np.ndarray, reach: float, across: float, single: bool):
-    """Encoded vectors -> (list, piece, side, own, ...): each to its own piece as side 0,
-    and as side 1 to all pieces that it probes. A pair meets once: where the lists
-    differ, in the one with the larger number; else in the larger piece."""
+def _deal(q: Quantiser, pieces: np.ndarray, radii: np.ndarray, group: np.ndarray, reach: float, across: float, single: bool):
+    """Encoded vectors -> (group, side, home, probes, ...): each to its own piece's group
+    as side 0, and as side 1 to all groups with pieces that it probes. Pieces are numbered
+    through all lists. A pair meets once: where the lists differ, in that of the larger
+    number if the sum of both is even, else in the other; in one list, in the larger piece."""
     gaps = np.sqrt(nearest(q.centres, q.centres)[1])
+    first = np.cumsum(pieces) - pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,21 +144,27 @@ def _deal(q: Quantiser, pieces: np.ndarray, radii: np.ndarray, reach: float, acr
                 x = _vectors(piece.column(5), single)
                 d = nearest(x, q.centres)[1]
                 own = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % pieces[cell]
-                margin = d - d[np.arange(len(ids)), cell][:, None]
+                home, everyone = first[cell] + own, np.arange(len(ids))
+                margin = d - d[everyone, cell][:, None]
                 near = (margin <= 2 * (across + SLACK) * gaps[cell]) & (np.sqrt(d) <= radii[None] + reach + SLACK)
-                near &= np.arange(len(pieces))[None] >= cell[:, None]
-                near[np.arange(len(ids)), cell] = True
+                other = np.arange(len(pieces))[None]
+                near &= (other > cell[:, None]) == ((other + cell[:, None]) % 2 == 0)
+                near[everyone, cell] = True
                 row, goal = np.nonzero(near)
                 n = pieces[goal]
                 row, goal, at = np.repeat(row, n), np.repeat(goal, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 keep = (goal != cell[row]) | (at >= own[row])
-                row, goal, at = row[keep], goal[keep], at[keep]
-                everyone = np.arange(len(ids))
-                row, goal, at = np.append(everyone, row), np.append(cell, goal), np.append(own, at)
-                side = np.append(np.zeros(len(ids), np.int32), np.ones(len(row) - len(ids), np.int32))
-                same = (side == 1) & (goal == cell[row]) & (at == own[row])
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(goal), pa.array(at), pa.array(side), pa.array(same), *(piece.column(k).take(take) for k in (0, 3, 4, 5))], names=["list", "piece", "side", "same", "vec_id", "missed", "codes", "vector"])
+                row, number = row[keep], (first[goal] + at)[keep]
+                at = group[number]
+                edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])))
+                raw = number.astype("<i4").tobytes()
+                probes = [b""] * len(ids) + [raw[4 * a : 4 * e] for a, e in zip(edge.tolist(), [*edge[1:].tolist(), len(row)], strict=True)]
+                row, at = np.append(everyone, row[edge]), np.append(group[home], at[edge])
+                side = np.append(np.zeros(len(ids), np.int32), np.ones(len(edge), np.int32))
+                for k in range(0, len(row), ROWS):
+                    r = slice(k, k + ROWS)
+                    take = pa.array(row[r])
+                    yield pa.RecordBatch.from_arrays([pa.array(at[r]), pa.array(side[r]), pa.array(home[row[r]]), pa.array(probes[r], pa.binary()), *(piece.column(c).take(take) for c in (0, 3, 4, 5))], names=["group", "side", "home", "probes", "vec_id", "missed", "codes", "vector"])
 
     return run
 
@@ -171,27 +179,36 @@ def match(q: Quantiser, cell: int, codes: np.ndarray, missed: np.ndarray, x: np.
     return a[keep], b[keep]
 
 
-def _match(q: Quantiser, at_least: float, reach: float, single: bool):
-    """Dealt rows, sorted by (list, piece, side) -> (u, v, n): how many links u has here
+def _match(q: Quantiser, pieces: np.ndarray, at_least: float, reach: float, single: bool):
+    """Dealt rows, sorted by (group, side) -> (u, v, n): how many links u has here
     (v null), and a spanning set of the links u, v (n = 0)."""
+    first = np.cumsum(pieces) - pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
         held: list[tuple] = []
-        index: tuple | None = None
-        counts = label = None
+        index: dict[int, tuple] | None = None  # of each piece: ids, codes, missed, vectors, counts, label
 
         def emit(u, v, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "n"])
 
-        def finish():
-            if counts is not None and counts.any():
-                at = np.flatnonzero(counts)
-                yield emit(index[0][at], [None] * len(at), counts[at])
+        def built() -> dict[int, tuple]:
+            if not held:
+                return {}
+            home, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+            return {int(h): (*(c[home == h] for c in rest), np.zeros((home == h).sum(), dtype=np.int64), np.arange((home == h).sum())) for h in np.unique(home)}
 
-        def search(ids, same, x):
-            a, b = match(q, now[0], index[1], index[2], index[3], x, at_least, reach)
-            keep = (ids[a] != index[0][b]) & (~same[a] | (ids[a] < index[0][b]))
+        def finish():
+            for own_ids, _, _, _, counts, _ in (index or {}).values():
+                if counts.any():
+                    at = np.flatnonzero(counts)
+                    yield emit(own_ids[at], [None] * len(at), counts[at])
+
+        def search(number, ids, same, x):
+            own_ids, codes, missed, vectors, counts, label = index[number]
+            cell = int(np.searchsorted(first, number, side="right")) - 1
+            a, b = match(q, cell, codes, missed, vectors, x, at_least, reach)
+            keep = (ids[a] != own_ids[b]) & (~same[a] | (ids[a] < own_ids[b]))
             a, b = a[keep], b[keep]
             np.add.at(counts, b, 1)
             own = np.bincount(a, minlength=len(ids))
@@ -202,46 +219,47 @@ def _match(q: Quantiser, at_least: float, reach: float, single: bool):
             bound = np.searchsorted(a, np.arange(len(ids) + 1))
             for i in at:
                 mine = b[bound[i] : bound[i + 1]]
-                trees, first = np.unique(label[mine], return_index=True)
+                trees, top = np.unique(label[mine], return_index=True)
                 if len(trees) > 1:
                     label[np.isin(label, trees)] = trees[0]
                 u += [ids[i]] * len(trees)
-                v += index[0][mine[first]].tolist()
+                v += own_ids[mine[top]].tolist()
             if u:
                 yield emit(u, v, np.zeros(len(u)))
 
         for batch in batches:
-            cell, piece, side = (batch.column(k).to_numpy() for k in range(3))
-            if not len(cell):
+            group, side = (batch.column(k).to_numpy() for k in range(2))
+            if not len(group):
                 continue
-            edge = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (piece[1:] != piece[:-1]) | (side[1:] != side[:-1])))
-            for a, e in zip(edge, np.append(edge[1:], len(cell)), strict=True):
-                if (cell[a], piece[a]) != now:
-                    if index is not None:
-                        yield from finish()
-                    now, held, index, counts = (cell[a], piece[a]), [], None, None
+            edge = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])))
+            for a, e in zip(edge, np.append(edge[1:], len(group)), strict=True):
+                if group[a] != now:
+                    yield from finish()
+                    now, held, index = group[a], [], None
                 part = batch.slice(a, e - a)
-                ids, missed = part.column(4).to_numpy(), part.column(5).to_numpy()
-                codes = np.frombuffer(b"".join(part.column(6).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                home, ids, missed = (part.column(k).to_numpy() for k in (2, 4, 5))
                 x = _vectors(part.column(7), single)
                 if side[a] == 0:
-                    held.append((ids, codes, missed, x))
+                    codes = np.frombuffer(b"".join(part.column(6).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                    held.append((home, ids, codes, missed, x))
                     continue
                 if index is None:
-                    index = tuple(np.concatenate(c) for c in zip(*held, strict=True)) if held else None
-                    if index is None:
-                        continue
-                    counts, label = np.zeros(len(index[0]), dtype=np.int64), np.arange(len(index[0]))
-                same = part.column(3).to_numpy(zero_copy_only=False)
+                    index = built()
+                probes = part.column(3).to_pylist()
                 for i in range(0, len(ids), QUERIES):
-                    yield from search(ids[i : i + QUERIES], same[i : i + QUERIES], x[i : i + QUERIES])
-        if index is not None:
-            yield from finish()
+                    some = probes[i : i + QUERIES]
+                    number = np.frombuffer(b"".join(some), dtype="<i4")
+                    row = i + np.repeat(np.arange(len(some)), [len(p) // 4 for p in some])
+                    for k in np.unique(number).tolist():
+                        if k in index:
+                            r = row[number == k]
+                            yield from search(k, ids[r], home[r] == k, x[r])
+        yield from finish()
 
     return run
 
 
-def link_vectors(vectors: DataFrame, at_least: float = 0.9, sample: int = SAMPLE, spread: float = SPREAD) -> DataFrame:
+def link_vectors(vectors: DataFrame, at_least: float = 0.9, sample: int = SAMPLE, spread: float | None = None) -> DataFrame:
     """vectors(vec_id long, embedding array of numbers, ...) -> (vec_id, n_links,
     component_id, kept), a row per input row. Two vectors link if their cosine, in double
     precision, is at least ``at_least`` (above 0); n_links: to how many others a vector
@@ -252,8 +270,8 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.9, sample: int = SAMPLE
     (component_id and kept are null). Rows that share a vec_id do not link with each other,
     and n_links is that of all of them together. Other columns are ignored; no rows give
     no rows. The quantisers are fitted on at most ``sample`` vectors, taken by a hash of
-    vec_id; all are indexed. ``spread``: see the module; the square root of the vectors'
-    length finds every link.
+    vec_id; all are indexed. Every link is found. ``spread``: probes only as far as so many
+    deviations of a link's part across a border in isotropic vectors, which loses links of others.
     """
     spark = vectors.sparkSession
     base.tune(spark)
@@ -268,14 +286,15 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.9, sample: int = SAMPLE
     lists = int(min(LISTS, max(1, usable.count() // LIST), max(1, len(x) // 8)))
     q = fit(x, lists)
     single = "float" in vectors.schema["embedding"].dataType.simpleString()
-    across = reach * min(1.0, spread / q.dim**0.5)
+    across = reach if spread is None else reach * min(1.0, spread / q.dim**0.5)
     encoded = base.written(base.mapped(usable, _encode(q, single), "vec_id long, list long, radius double, missed double, codes binary, vector binary"), "codes")
-    pieces, radii = np.ones(len(q.centres), dtype=np.int64), np.zeros(len(q.centres))
+    pieces, radii, count = np.ones(len(q.centres), dtype=np.int64), np.zeros(len(q.centres)), np.zeros(len(q.centres))
     for r in encoded.groupBy("list").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect():
-        pieces[r["list"]], radii[r["list"]] = -(-r["n"] // PIECE), r["radius"]
-    dealt = base.mapped(encoded, _deal(q, pieces, radii, reach, across, single), "list long, piece long, side int, same boolean, vec_id long, missed double, codes binary, vector binary")
-    dealt = dealt.repartition(n, "list", "piece").sortWithinPartitions("list", "piece", "side")
-    found = base.written(base.mapped(dealt, _match(q, at_least, reach, single), "u long, v long, n long"), "found")
+        pieces[r["list"]], radii[r["list"]], count[r["list"]] = -(-r["n"] // PIECE), r["radius"], r["n"]
+    group = (np.cumsum(np.repeat(count / pieces, pieces)) // PIECE).astype(np.int64)
+    dealt = base.mapped(encoded, _deal(q, pieces, radii, group, reach, across, single), "group long, side int, home long, probes binary, vec_id long, missed double, codes binary, vector binary")
+    dealt = dealt.repartition(n, "group").sortWithinPartitions("group", "side")
+    found = base.written(base.mapped(dealt, _match(q, pieces, at_least, reach, single), "u long, v long, n long"), "found")
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "vec_id")
     roots = graph.components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "vec_id")
     out = vectors.select("vec_id").join(counts, "vec_id", "left").join(roots, "vec_id", "left")

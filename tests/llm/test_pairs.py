@@ -283,6 +283,18 @@ def test_vectors_match_brute_force(spark, monkeypatch, kind):
         assert sum(fast.values()) >= 0.99 * sum(n for n, _, _ in want.values()) and all(fast[i] <= want[i][0] for i in ids)
 
 
+@pytest.mark.parametrize("dim, rank", [(64, 3), (384, 6)])
+def test_vectors_of_low_rank_keep_all_links(spark, dim, rank):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(2048, rank)) @ rng.normal(size=(rank, dim))
+    ids = list(range(len(x)))
+    df = spark.createDataFrame([(i, v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in nearvec.link_vectors(df).collect()}
+    assert [got[i] for i in ids] == want.tolist()
+
+
 def test_vectors_edge_cases(spark):
     kinds = "vec_id long, embedding array<float>, label int"
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 2), (3, [0.0, 0.0], 1), (4, None, 1), (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [1.0], 1), (None, [1.0, 0.0], 1), (8, [], 1), (9, [float("inf"), 0.0], None), (2, [2.0, 0.0], 2)]
