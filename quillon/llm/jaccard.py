@@ -72,6 +72,12 @@ def bands(at_least: Fraction, top: int) -> list[tuple[int, int]]:
         low = high + 1
 
 
+def covering(n: int, at_least: Fraction, table: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The table, extended so that it holds the bands of all sets that a set of n elements can link with."""
+    reach = n * at_least.denominator // at_least.numerator
+    return table if reach <= table[-1][0] else bands(at_least, 2 * reach)
+
+
 def weak(at_least: Fraction) -> int:
     """A part of fewer elements says little: unrelated sets can agree on it."""
     p, q = at_least.numerator, at_least.denominator
@@ -381,8 +387,7 @@ def _route(width: int, at_least: Fraction):
             for chunk in W.chunks(range(len(batch)), W.column(batch, "text"), lower=True):
                 parts, owner = [], []
                 for row, s in shingle_sets(chunk, width):
-                    while len(s) >= table[-1][0]:
-                        table = bands(at_least, 2 * len(s))
+                    table = covering(len(s), at_least, table)
                     if len(s):
                         parts.append(signatures(s, at_least, table).view(np.int64))
                         owner.append(np.full(len(parts[-1]), ids[row]))

@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import decontam, graph, jaccard, nearvec, substring
@@ -83,6 +84,17 @@ def test_jaccard_matches_brute_force(spark, width, at_least, piece):
     assert got == {i: (len(s), union.find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("at_least, n", [(0.8, 1_200_000), (0.9, 1_300_000)])
+def test_large_sets_are_routed(at_least, n):
+    texts = [" ".join(map(str, range(n))), " ".join(map(str, range(100, n)))]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], names=["doc_id", "text"])
+    parts = {1: set(), 2: set()}
+    for out in jaccard._route(3, Fraction(at_least).limit_denominator(10_000))(iter([batch])):
+        for part, i in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            parts[i].add(part)
+    assert parts[1] & parts[2]
+
+
 def test_jaccard_edge_cases(spark):
     assert jaccard.jaccard_classes(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f", "l", 1, "k", 2), (3, "a b c d e f", "l", 1, "k", 2), (3, "a b c d e f", "l", 1, "k", 2), (2, "A B C D E F", "l", 1, "k", 2), (5, None, None, None, None, None), (5, "q r s", "l", 1, "k", 2)]
