@@ -16,11 +16,14 @@ from quillon.llm.packing import pack_documents
 from quillon.llm.quality import quality_scores
 from quillon.llm.substring import cut_repeats
 
+#: A row's number, for the decontamination stage alone.
+ROW = "_row"
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for rows with one of the ids(doc_id); these are broadcast if they are few."""
+
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs but for rows with one of the ids(key); these are broadcast if they are few."""
     ids = base.written(ids.distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +48,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, find_leaks(docs, base.table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Documents that hold a benchmark item go; whatever their doc_id, the very rows that hold it."""
+    keyed = base.written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    leaks = find_leaks(keyed.select(F.col(ROW).alias("doc_id"), "text"), base.table(spark, sf_dir, "benchmark"))
+    return _without(keyed, leaks.select(F.col("doc_id").alias(ROW)), ROW).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

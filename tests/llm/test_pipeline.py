@@ -71,6 +71,14 @@ def test_stages(spark, data, tmp_path):
     assert {r.doc_id for r in docs.collect()} == set(clean)
 
 
+def test_decontamination_removes_the_very_rows(spark, data):
+    folder, _, _ = data
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rows = [(None, item, "leak"), (None, "clean", "clean"), (7, item, "leak"), (7, "clean too", "clean"), (8, None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.source for r in corpus_pipeline.decontamination(spark, docs, folder).collect()) == ["clean", "clean", "null"]
+
+
 def test_run_is_the_stages(spark, data):
     folder, kinds, _ = data
     out = corpus_pipeline.run(spark, folder)
