@@ -10,7 +10,9 @@ density is its characters per tag, adjusted for links:
 of its children's densities. The least density on the way from the body to the node
 of the largest sum is the threshold; among nodes of at least that density, the one
 of the largest sum is the main text's subtree, or the article or main element around it.
-Elements that are by their name, role, class or id no part of an article are left out.
+Elements that are by their name, role, class or id no part of an article are left out;
+but not by class or id if they hold an article or main element, or most of the unlinked
+text while no article or main element stands beside them.
 """
 
 from __future__ import annotations
@@ -65,48 +67,76 @@ class Node:
             parent.items.append(self)
 
 
-def _left_out(tag: str, rest: str, in_main: bool) -> tuple[bool, bool]:
-    """(whether an element is no part of an article, whether its attributes name it the main one)."""
+#: Why an element is left out: not at all, by its class or id alone, or by what it is.
+KEPT, NAMED, OUT = range(3)
+
+
+def _left_out(tag: str, rest: str, in_main: bool) -> tuple[int, bool]:
+    """(why an element is no part of an article, whether its attributes name it the main one)."""
     if tag in LEFT_OUT or tag == "header" and not in_main:
-        return True, False
+        return OUT, False
     if "=" not in rest:
-        return "hidden" in rest.lower().split(), False
+        return OUT if "hidden" in rest.lower().split() else KEPT, False
     have = {}
     for m in ATTRIBUTE.finditer(rest):
         have.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     role = have.get("role", "")
     main = role in ("main", "article") or have.get("itemprop") == "articlebody"
     if tag in MAIN or tag in ("html", "body") or main:
-        return False, main
+        return KEPT, main
     bare = ATTRIBUTE.sub(" ", rest).lower().split()
     hidden = "hidden" in bare or "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "")
-    named = not NAMES.isdisjoint(WORD.findall(have.get("class", "") + " " + have.get("id", "")))
-    return hidden or named or role in ROLES, False
+    if hidden or role in ROLES:
+        return OUT, False
+    names = NAMES.intersection(WORD.findall(have.get("class", "") + " " + have.get("id", "")))
+    return NAMED if names - {"header"} or names and not in_main else KEPT, False
 
 
 def parse(html: str) -> Node:
     """The tree of a page. Elements that are left out count to the body's characters and
     links, but have no nodes."""
+    body, spare = _parse(html, frozenset())
+    return _parse(html, spare)[0] if spare else body
+
+
+def _parse(html: str, spare: frozenset[int]) -> tuple[Node, frozenset[int]]:
+    """(the tree, where elements start whose class or id is no reason to leave them out);
+    those that start at ``spare`` are not left out for it."""
     body = Node("body", None)
     at, here = 0, body
     stack: list[tuple[str, Node]] = [("body", body)]  # open elements; inline ones share the node around
     out = 0  # depth in the stack from which all is left out, 0 for none
     links = 0
+    hard = 0  # the same for what is left out but by class or id
+    plain = mains = 0  # unlinked characters and article or main elements so far, outside of hard
+    around: list[int] = []  # depths of the open ones of mains
+    named: list[tuple[int, int, int, int, int]] = []  # open elements out by class or id: depth, start, plain, mains, around before
+    held: list[tuple[int, int, int, int]] = []  # closed ones: start, unlinked characters, mains inside and around
 
     def close(k: int) -> None:
-        nonlocal here, out, links
+        nonlocal here, out, links, hard
+        while named and named[-1][0] >= k:
+            _, start, chars_before, mains_before, n_around = named.pop()
+            held.append((start, plain - chars_before, mains - mains_before, n_around))
+        while around and around[-1] >= k:
+            around.pop()
         for tag, _ in stack[k:]:
             links -= tag == "a"
         del stack[k:]
         here = stack[-1][1]
         if out and len(stack) <= out:
             out = 0
+        if hard and len(stack) <= hard:
+            hard = 0
 
     def text(piece: str) -> None:
+        nonlocal plain
         if "&" in piece:
             piece = unescape(piece)
+        n = sum(map(len, piece.split()))
+        if not hard and not links:
+            plain += n
         if out:
-            n = sum(map(len, piece.split()))
             body.chars += n
             body.link_chars += n if links else 0
         else:
@@ -164,14 +194,22 @@ def parse(html: str) -> Node:
             if rest.endswith("/") and tag in INLINE:
                 continue
             links += tag == "a"
+            why, main = _left_out(tag, rest, any(x.main or x.tag in MAIN for _, x in stack))
+            if why == NAMED and m.start() in spare:
+                why = KEPT
+            elif why == NAMED and not hard:
+                named.append((len(stack), m.start(), plain, mains, len(around)))
+            elif why == OUT and not hard:
+                hard = len(stack)
+            if not hard and (main or tag in MAIN):
+                mains += 1
+                around.append(len(stack))
             if out:
                 body.link_tags += tag == "a"
                 body.tags += 1
                 stack.append((tag, here))
                 continue
-            in_main = any(x.main or x.tag in MAIN for _, x in stack)
-            gone, main = _left_out(tag, rest, in_main)
-            if gone:
+            if why:
                 out = len(stack)
                 body.tags += 1
                 here.items.append(" ")
@@ -181,7 +219,8 @@ def parse(html: str) -> Node:
             else:
                 here = Node(tag, here, main)
                 stack.append((tag, here))
-    return body
+    close(1)
+    return body, frozenset(start for start, chars, inside, n_around in held if inside or 2 * chars > plain and mains == n_around)
 
 
 def _weigh(body: Node) -> list[Node]:

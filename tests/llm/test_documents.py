@@ -156,6 +156,17 @@ def test_extraction_of_odd_pages():
     assert html.extract('<div><p title="a>b">one</p><p title=\'c>\'>two</p></div>') == "one two"
 
 
+@pytest.mark.parametrize("top", ["<div class='layout has-sidebar'>", "<div id='page' class='nav-open'>", "<div class='content no-comments'>"])
+@pytest.mark.parametrize("main", ["article", "div"])
+def test_names_do_not_drop_what_holds_the_article(top, main):
+    said = "A sentence of the article that says something, and goes on for a while."
+    page = f"<body><nav><a href=x>Home</a></nav>{top}<{main}><header class='entry-header'><h1>Title</h1></header><p>{said}</p><p>{said}</p></{main}><div class='share'>Share it</div></div><div class='ad'>Buy</div></body>"
+    title = "Title " if main == "article" else ""
+    assert html.extract(page) == f"{title}{said} {said}"
+    inner = f"<body>{top}<{main}>{top}<p>{said}</p><p>{said}</p></div></{main}></div></body>"
+    assert html.extract(inner) == f"{said} {said}"
+
+
 def test_density_finds_the_article_without_names():
     links = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(40))
     body = "".join(f"<p>{'Sentence of the article with some words. ' * 6}</p>" for _ in range(6))
