@@ -2,7 +2,7 @@
 
 Documents become token ids. What fills whole windows is cut off first; the rest of each
 document goes to an inverted index, sharded by runs of documents, with the corpus's
-document frequencies. Shard by shard, the next unused rest is a seed; its best terms
+document frequencies. Shard by shard, the next unused rest is a seed; all its terms
 query the index, whose unused neighbours fill the seed's window in the order of their
 scores, the last one cut to fit. What is left at a shard's end is cut to powers of two,
 which need no padding.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from quillon.llm import base
 
 WINDOW, END = 2048, 1
-#: Documents of a shard of the index; terms of a query.
-SHARD, TERMS = 2048, 16
+#: Documents of a shard of the index.
+SHARD = 2048
 K1, B = 1.2, 0.75
 #: Words, and words without punctuation, that a worker remembers.
 CACHE = 1_000_000
@@ -143,20 +143,15 @@ class Index:
         term, self.owner = np.divmod(key, len(sequences))
         self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.owner] / average))
         self.firsts = np.searchsorted(term, np.arange(len(idf) + 1))
-        # each sequence's best terms are its query
-        order = np.argsort(-self.impact, kind="stable")
-        order = order[np.argsort(self.owner[order].astype(np.uint16 if len(sequences) < 1 << 16 else np.int64), kind="stable")]
-        owner = self.owner[order]
-        rank = np.arange(len(order)) - np.searchsorted(owner, np.arange(len(sequences)))[owner]
-        best = rank < TERMS
-        self.queries = np.split(term[order][best], np.searchsorted(owner[best], np.arange(1, len(sequences))))
+        # each sequence's terms are its query
+        order = np.argsort(self.owner.astype(np.uint16 if len(sequences) < 1 << 16 else np.int64), kind="stable")
+        self.queries = np.split(term[order], np.searchsorted(self.owner[order], np.arange(1, len(sequences))))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused sequences with a term of the seed's query, best first."""
-        score = np.zeros(len(unused))
-        for t in self.queries[seed]:
-            here = slice(self.firsts[t], self.firsts[t + 1])
-            score[self.owner[here]] += self.impact[here]
+        query = self.queries[seed]
+        lists = [slice(a, e) for a, e in zip(self.firsts[query].tolist(), self.firsts[query + 1].tolist(), strict=True)]
+        score = np.bincount(np.concatenate([self.owner[x] for x in lists]), np.concatenate([self.impact[x] for x in lists]), len(unused))
         score[~unused] = 0
         at = np.flatnonzero(score)
         return at[np.argsort(-score[at], kind="stable")]

@@ -156,6 +156,24 @@ def test_extraction_of_odd_pages():
     assert html.extract('<div><p title="a>b">one</p><p title=\'c>\'>two</p></div>') == "one two"
 
 
+def test_neighbours_are_scored_by_all_terms():
+    rng = np.random.default_rng(5)
+    sequences = [rng.integers(0, 300, rng.integers(40, 120)) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(s) for s in sequences]), minlength=300)
+    idf, average = np.log(1 + (60 - df + 0.5) / (df + 0.5)), float(np.mean([len(s) for s in sequences]))
+    index = packing.Index(sequences, idf, average)
+    for seed in range(60):
+        want = np.zeros(60)
+        for d, s in enumerate(sequences):
+            for t in np.intersect1d(sequences[seed], s):
+                tf = (s == t).sum()
+                want[d] += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(s) / average))
+        unused = np.ones(60, dtype=bool)
+        unused[seed], want[seed] = False, 0
+        got = index.neighbours(seed, unused)
+        assert set(got) == set(np.flatnonzero(want)) and (np.diff(want[got]) <= 1e-9).all()
+
+
 @pytest.mark.parametrize("top", ["<div class='layout has-sidebar'>", "<div id='page' class='nav-open'>", "<div class='content no-comments'>"])
 @pytest.mark.parametrize("main", ["article", "div"])
 def test_names_do_not_drop_what_holds_the_article(top, main):
