@@ -70,18 +70,35 @@ def lean(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def release() -> None:
+    """Gives memory back to the system, as Spark keeps workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """run, for applyInArrow: memory is given back behind each group."""
+
+    def group(*tables: pa.Table) -> pa.Table:
+        try:
+            return run(*tables)
+        finally:
+            release()
+
+    # Spark counts the parameters
+    return (lambda a: group(a)) if run.__code__.co_argcount == 1 else (lambda a, b: group(a, b))
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow, whose workers give their memory back when a task ends, as Spark
-    keeps them for later tasks."""
+    """df.mapInArrow, whose workers give their memory back when a task ends."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return df.mapInArrow(task, schema)

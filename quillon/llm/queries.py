@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import html, licences, urls, warc
+from quillon.llm import html, licences, substring, urls, warc
 from quillon.llm.base import table
 from quillon.llm.decontam import find_leaks
 from quillon.llm.jaccard import jaccard_classes
 from quillon.llm.nearvec import link_vectors
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality import quality_scores
-from quillon.llm.substring import cut_repeats
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring.cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op5_url_filters.__name__: urls.SQL, op8_license_scans.__name__: licences.sql()}
+    return {op5_url_filters.__name__: urls.SQL, op6_substring_dedup.__name__: substring.SQL, op8_license_scans.__name__: licences.sql()}

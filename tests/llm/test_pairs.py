@@ -185,6 +185,33 @@ def test_substring_edge_cases(spark):
         substring.cut_repeats(frame(spark, []), window=49)
 
 
+def test_substring_rows_that_share_ids(spark):
+    a, c, d, p = (" ".join(f"{x}{i}" for i in range(60)) for x in "acdp")
+    long = " ".join(f"l{i}" for i in range(300))
+    for rows in (
+        [(1, a), (4, a), (4, c)],
+        [(1, a), (2, c), (4, a), (4, c)],
+        [(1, p + " x"), (4, long + " " + p), (4, d)],
+        [(4, a), (4, a + " x"), (4, c + " " + a), (4, a), (9, long), (9, long), (9, c)],
+    ):
+        got = substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.kept, r.n_words, r.n_removed) for r in got) == sorted(removed([(i, words(t)) for i, t in rows]))
+
+
+def test_long_repeats_are_found_by_high_symbols(spark):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    chunk = W.Chunk(np.arange(2), [" ".join(long).encode(), " ".join(["x"] * 7 + long + ["y"] * 9).encode()], False)
+    text_of = substring._texts(chunk)
+    x = substring.recompress(chunk.hashes, text_of)
+    sets = [dict(zip((substring._high(chunk.hashes, x)[0][own]).tolist(), (x.high[2] - x.high[1])[own].tolist(), strict=True)) for own in (text_of[x.high[1]] == k for k in range(2))]
+    both = set(sets[0]) & set(sets[1])
+    assert max(sets[0][k] for k in both) > 300
+    rows = [(1, " ".join(long)), (2, " ".join(["x"] * 7 + long + ["y"] * 9)), (3, " ".join(long[100:2500])), (4, " ".join(long[:1000] + ["z"] + long[1001:]))]
+    got = substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.kept, r.n_words, r.n_removed) for r in got) == sorted(removed([(i, words(t)) for i, t in rows]))
+
+
 def test_equal_substrings_get_equal_inner_symbols():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -194,7 +221,8 @@ def test_equal_substrings_get_equal_inner_symbols():
         for _ in range(2):
             left, right = rng.choice(alphabet, rng.integers(0, 60)), rng.choice(alphabet, rng.integers(0, 60))
             w = np.concatenate([left, inner, right])
-            names, at, lead, tail = substring.recompress(w, np.zeros(len(w), dtype=np.int64))
+            x = substring.recompress(w, np.zeros(len(w), dtype=np.int64))
+            names, at, lead, tail = x.names, x.at, x.lead, x.tail
             a = len(left)
             seen.append([(int(names[k]), int(at[k]) - a) for k in range(lead[a], tail[a + 49])])
             ends = np.append(at[1:], len(w))

@@ -33,11 +33,23 @@ def test_streams_over_cut_runs():
             ids[k].append(i)
         got = set(collected(jaccard.tie(batches(rng, rows, ["part", "doc_id"]))))
         assert got == {(i, min(v)) for v in ids.values() for i in v if i != min(v)}
-        got = set(collected(substring._shared(batches(rng, rows, ["symbol", "doc_id"]))))
-        assert got == {(k, i) for k, v in ids.items() for i in v if len(set(v)) > 1}
-        rows = [(k, i, n) for n, (k, i) in enumerate(rows)]
-        got = sorted(collected(substring._later(batches(rng, rows, ["hash", "doc_id", "at"]))))
-        assert got == sorted((i, n) for k, i, n in rows if i > min(ids[k]))
+
+
+def test_shared_symbols_over_cut_runs():
+    rng = random.Random(1)
+    for _ in range(500):
+        rows = []
+        for bucket in range(rng.randrange(6)):
+            for key in rng.sample([(s, m) for s in range(3) for m in range(3)], rng.randrange(9)):
+                low = rng.randrange(3)
+                rows.append((*key, bucket, low, max(low, rng.randrange(4))))
+        rows.sort(key=lambda r: (r[0], r[1], r[3]))
+        ids = defaultdict(list)
+        for s, m, _, low, high in rows:
+            ids[s, m] += [low, high]
+        got = sorted(collected(substring._shared(batches(rng, rows, ["symbol", "mark", "bucket", "low", "high"]))))
+        least = {k: min(v) for k, v in ids.items()}
+        assert got == sorted((b, s, m, least[s, m]) for s, m, b, _, high in rows if max(ids[s, m]) > least[s, m] and (m == 0 or high > least[s, m]))
 
 
 def test_packed_elements_come_back():
