@@ -1,12 +1,15 @@
 """Benchmark decontamination by SimHash and multi-index Hamming search.
 
-Windows of a document that are as long as an item get a 64-bit SimHash of their word
-shingles, each weighing as often as it occurs. An index of the items' fingerprints, one
-table for each of four blocks of 16 bits, finds all windows within the radius: of four
-blocks that differ in at most RADIUS bits in all, one differs in at most RADIUS // 4.
-What it finds is verified by the exact similarity of the two weighted shingle sets
-(sum of least over sum of largest weights). A window can only reach a similarity above
-0 if it has a shingle of some item, so others get no fingerprint.
+Windows of a document that are as long as an item get a 128-bit SimHash of their word
+shingles, each weighing as often as it occurs. The items' fingerprints are indexed in
+BLOCKS tables, one for each block of BITS bits: a table posts an item under all values
+that differ from its block in at most RADIUS // BLOCKS bits. Of BLOCKS blocks that differ in
+at most RADIUS bits in all, one differs in at most RADIUS // BLOCKS, so a look-up of the
+window's own blocks returns every item within the radius, and none else is compared but
+those that share a near block. What is within the radius is verified by the exact
+similarity of the two weighted shingle sets (sum of least over sum of largest weights). A
+window can only reach a similarity above 0 if it has a shingle of some item, so others
+get no fingerprint.
 """
 
 from __future__ import annotations
@@ -23,25 +26,34 @@ from pyspark.sql import types as T
 from quillon.llm import base
 from quillon.llm import words as W
 
-#: Bits in which fingerprints of window and item differ at most. At a similarity of 0.8
-#: they differ in about 10 of 64, with a deviation of 3.
-RADIUS = 22
-BLOCKS, BITS = 4, 16
+#: Bits of 128 in which fingerprints of window and item differ at most. At a similarity of
+#: 0.8 they differ in 19, with a deviation of 4.
+RADIUS = 31
+BLOCKS, BITS = 8, 16
 #: Items that are searched in one pass over the documents, and sent to all tasks.
 ITEMS = 4096
-_ONES = np.array([bin(i).count("1") for i in range(1 << BITS)], dtype=np.uint8)
+#: Windows that get their fingerprints at once.
+WINDOWS = 1 << 14
+_OTHER = W._splitmix(23, 1)
+
+
+def _ball() -> np.ndarray:
+    """All block values of at most RADIUS // BLOCKS bits."""
+    values = np.arange(1 << BITS, dtype=np.uint16)
+    return values[np.bitwise_count(values) <= RADIUS // BLOCKS]
 
 
 def fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each ``size`` consecutive shingles."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
+    """SimHash of each ``size`` consecutive shingles, as rows of BLOCKS 16-bit blocks."""
+    both = np.stack([hashes, W.mix(hashes ^ _OTHER)], axis=1)
+    bits = np.unpackbits(both.view(np.uint8).reshape(len(hashes), -1), axis=1)
+    sums = np.zeros((len(hashes) + 1, bits.shape[1]), dtype=np.int32)
     np.cumsum(bits, axis=0, out=sums[1:])
-    return np.packbits(2 * (sums[size:] - sums[:-size]) > size, axis=1).view(np.uint64).ravel()
+    return np.packbits(2 * (sums[size:] - sums[:-size]) > size, axis=1).view(np.uint16)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -50,12 +62,46 @@ def similarity(a: Counter, b: Counter) -> float:
     return least / (sum(a.values()) + sum(b.values()) - least)
 
 
+class Index:
+    """Fingerprints, posted in each of BLOCKS tables under all near values of that block."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.values, self.items = [], []
+        ball = _ball()
+        for b in range(BLOCKS):
+            value = (prints[:, b][:, None] ^ ball[None]).ravel()
+            order = np.argsort(value, kind="stable")
+            self.values.append(value[order])
+            self.items.append((order // len(ball)).astype(np.int32))
+
+    def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) numbers that share a near block, each pair once."""
+        found = []
+        for b in range(BLOCKS):
+            low, high = (np.searchsorted(self.values[b], windows[:, b], side=side) for side in ("left", "right"))
+            n = high - low
+            row = np.repeat(np.arange(len(windows)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            found.append(row * len(self.prints) + self.items[b][at])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.prints), pairs % len(self.prints)
+
+    def near(self, windows: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) numbers within the radius."""
+        step = max(1, (1 << 21) // len(self.prints))
+        for a in range(0, len(windows), step):
+            row, item = self.candidates(windows[a : a + step])
+            on = distance(windows[a + row], self.prints[item]) <= RADIUS
+            yield from zip((a + row[on]).tolist(), item[on].tolist(), strict=True)
+
+
 class Items:
     """Benchmark items by (shingle width, shingles), each group with its multi-index."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], width: int):
         self.groups: dict[tuple[int, int], list[tuple[int | None, Counter]]] = defaultdict(list)
-        prints = defaultdict(list)
+        self.prints: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
         known = defaultdict(list)
         for item, text in rows:
             words = W.Chunk(np.zeros(1), [(text or "").encode()], True).hashes
@@ -64,35 +110,23 @@ class Items:
             h = W.shingles(words, width)
             key = (min(width, len(words)), len(h))
             self.groups[key].append((item, Counter(h.tolist())))
-            prints[key].append(fingerprints(h, len(h))[0])
+            self.prints[key].append(fingerprints(h, len(h))[0])
             known[key[0]].append(h)
-        self.prints = {k: np.array(v, dtype=np.uint64) for k, v in prints.items()}
-        self.tables = {k: self._index(v) for k, v in self.prints.items()}
         self.known = {w: np.unique(np.concatenate(h)) for w, h in known.items()}
 
-    @staticmethod
-    def _index(prints: np.ndarray) -> np.ndarray:
-        """For each block and value, whether an item's block is near enough."""
-        table = np.zeros((BLOCKS, 1 << BITS), dtype=bool)
-        values = np.arange(1 << BITS)
-        for b in range(BLOCKS):
-            for v in np.unique((prints >> np.uint64(BITS * b)) & np.uint64((1 << BITS) - 1)):
-                table[b] |= _ONES[values ^ int(v)] <= RADIUS // BLOCKS
-        return table
+    def index(self) -> dict[tuple[int, int], Index]:
+        """Built by each task, as it is far larger than what it is built from."""
+        return {k: Index(np.array(v)) for k, v in self.prints.items()}
 
-    def near(self, key: tuple[int, int], prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) numbers within the radius."""
-        table, own = self.tables[key], self.prints[key]
-        hit = np.zeros(len(prints), dtype=bool)
-        for b in range(BLOCKS):
-            hit |= table[b][((prints >> np.uint64(BITS * b)) & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-        at = np.flatnonzero(hit)
-        for k, p in enumerate(own):
-            for i in at[distance(prints[at], p) <= RADIUS]:
-                yield int(i), k
+
+def _near(h: np.ndarray, n: int, low: int, high: int, index: Index) -> Iterator[tuple[int, int]]:
+    """(start, item number) of the windows of n shingles that start from low to high - 1."""
+    for a in range(low, high, WINDOWS):
+        for i, k in index.near(fingerprints(h[a : min(a + WINDOWS, high) + n - 1], n)):
+            yield a + i, k
 
 
-def leaks(words: np.ndarray, items: Items, hits: dict[int, np.ndarray], at_least: float) -> dict[int, tuple[float, int, int, int | None]]:
+def leaks(words: np.ndarray, items: Items, index: dict[tuple[int, int], Index], hits: dict[int, np.ndarray], at_least: float) -> dict[int, tuple[float, int, int, int | None]]:
     """Best (similarity, first word, words, item id) for each item that a text holds; hits:
     places of the items' shingles in it, by shingle width."""
     best: dict[tuple, tuple] = {}
@@ -109,9 +143,7 @@ def leaks(words: np.ndarray, items: Items, hits: dict[int, np.ndarray], at_least
         np.add.at(edge, np.minimum(at, len(h) - n) + 1, -1)
         starts = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-            prints = fingerprints(h[run[0] : run[-1] + n], n)
-            for i, k in items.near((width, size), prints):
-                start = int(run[0]) + i
+            for start, k in _near(h, n, int(run[0]), int(run[-1]) + 1, index[width, size]):
                 s = similarity(Counter(h[start : start + n].tolist()), group[k][1])
                 key = (width, size, k)
                 if s >= at_least and (key not in best or (-s, start) < (-best[key][0], best[key][1])):
@@ -127,6 +159,7 @@ def _search(items: Items, at_least: float):
         flags[width][(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = items.index()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
@@ -142,7 +175,7 @@ def _search(items: Items, at_least: float):
                     a, e = chunk.bounds[i], chunk.bounds[i + 1]
                     hits = {w: at[np.searchsorted(at, a) : np.searchsorted(at, e - w + 1)] - a for w, at in places.items()}
                     if any(map(len, hits.values())):
-                        out += [(ids[row], item, start, n, s) for s, start, n, item in leaks(chunk.hashes[a:e], items, hits, at_least).values()]
+                        out += [(ids[row], item, start, n, s) for s, start, n, item in leaks(chunk.hashes[a:e], items, index, hits, at_least).values()]
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 

@@ -278,15 +278,39 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.find_leaks(df, bench.where("item_id < 0")).count() == 0 and decontam.find_leaks(df.where("doc_id < 0"), bench).count() == 0
 
 
-def test_multi_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("n", [10, 200, 4096])
+def test_multi_index_finds_all_within_the_radius_and_little_else(n):
     rng = np.random.default_rng(1)
-    own = rng.integers(0, 2**63, 7, dtype=np.uint64)
-    table = decontam.Items._index(own)
-    for _ in range(2000):
-        p = int(own[rng.integers(7)])
-        for b in rng.choice(64, decontam.RADIUS, replace=False):
-            p ^= 1 << int(b)
-        assert any(table[b][(p >> (16 * b)) & 0xFFFF] for b in range(4))
+    own = rng.integers(0, 1 << 16, (n, decontam.BLOCKS), dtype=np.uint16)
+    index = decontam.Index(own)
+    windows = rng.integers(0, 1 << 16, (400, decontam.BLOCKS), dtype=np.uint16)
+    of = rng.integers(0, n, 200)
+    for k in range(200):
+        bits = np.zeros(128, dtype=np.uint8)
+        bits[rng.choice(128, decontam.RADIUS, replace=False)] = 1
+        windows[k] = own[of[k]] ^ np.packbits(bits).view(np.uint16)
+    near = set(index.near(windows))
+    assert {(k, int(of[k])) for k in range(200)} <= near
+    assert near == {(i, k) for i in range(400) for k in np.flatnonzero(decontam.distance(windows[i][None], own) <= decontam.RADIUS).tolist()}
+    row, _ = index.candidates(windows[200:])
+    assert len(row) < 0.11 * 200 * n
+
+
+def test_fingerprints_recall_at_the_threshold():
+    """Pairs of a similarity from 0.8 that the radius holds, against all of them."""
+    rng = np.random.default_rng(2)
+    found = total = 0
+    for size in (9, 20, 40, 56):
+        for _ in range(250):
+            item = rng.integers(0, 2**63, size, dtype=np.uint64)
+            window = item.copy()
+            changed = int(size * rng.uniform(0, 1 / 9))
+            window[rng.choice(size, changed, replace=False)] = rng.integers(0, 2**63, changed, dtype=np.uint64)
+            assert decontam.similarity(Counter(item.tolist()), Counter(window.tolist())) >= 0.8
+            a, b = (decontam.fingerprints(x, size) for x in (item, window))
+            total += 1
+            found += decontam.distance(a[0], b[0]) <= decontam.RADIUS
+    assert found >= 0.995 * total
 
 
 def near_vectors(seed, n=600, dim=64):
