@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that cross to Python at once (a single longer row crosses whole).
 BATCH = 4 << 20
+#: Keys of more than this share of the rows are joined by broadcast.
+HEAVY = 4096
 _own: dict[str, str] = {}
 
 
@@ -70,6 +72,22 @@ def lean(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def spread(rows: DataFrame, classes: DataFrame, keys: list[str], by: str, size: str = "size") -> DataFrame:
+    """rows left join classes on the keys. classes, a written table, has a row for each key, and
+    how many of the rows have it (``size``). Keys with more than one in HEAVY of all rows, of
+    which there are less than HEAVY, are broadcast, and their rows spread by a hash of the
+    column ``by``; so no key, however common, sends its rows to one task."""
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    rest = [c for c in classes.columns if c not in keys]
+    heavy = F.col(size) * HEAVY > total
+    few = classes.where(heavy).select(*keys, F.struct(*rest).alias("_few"))
+    many = classes.where(~heavy).select(*keys, F.struct(*rest).alias("_many"), F.lit(0).cast("long").alias("_salt"))
+    rows = rows.join(F.broadcast(few), keys, "left")
+    rows = rows.withColumn("_salt", F.when(F.col("_few").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(by), F.lit(HEAVY))).cast("long"))
+    rows = rows.join(many, [*keys, "_salt"], "left").withColumn("_one", F.coalesce("_few", "_many"))
+    return rows.select("*", *(F.col(f"_one.{c}").alias(c) for c in rest)).drop("_few", "_many", "_one", "_salt")
+
+
 def release() -> None:
     """Gives memory back to the system, as Spark keeps workers for later tasks."""
     gc.collect()

@@ -340,11 +340,10 @@ def test_vectors_match_brute_force(spark, monkeypatch, kind):
     ids = [i * 13 % 1009 for i in range(len(x))]
     df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in zip(ids, x, strict=True)], f"vec_id long, embedding array<{kind}>, label int")
     want = brute_links(ids, x)
-    exact = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nearvec.link_vectors(df, spread=8.0).collect()}
-    assert exact == want
-    if kind == "float":
-        fast = {r.vec_id: r.n_links for r in nearvec.link_vectors(df).collect()}
-        assert sum(fast.values()) >= 0.99 * sum(n for n, _, _ in want.values()) and all(fast[i] <= want[i][0] for i in ids)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nearvec.link_vectors(df).collect()}
+    assert got == want
+    fast = {r.vec_id: r.n_links for r in nearvec.link_vectors(df, queries=100).collect()}
+    assert sum(fast.values()) >= 0.99 * sum(n for n, _, _ in want.values()) and all(fast[i] <= want[i][0] for i in ids)
 
 
 @pytest.mark.parametrize("dim, rank", [(64, 3), (384, 6)])
@@ -357,15 +356,29 @@ def test_vectors_of_low_rank_keep_all_links(spark, dim, rank):
     want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
     got = {r.vec_id: r.n_links for r in nearvec.link_vectors(df).collect()}
     assert [got[i] for i in ids] == want.tolist()
+    got = {r.vec_id: r.n_links for r in nearvec.link_vectors(df, queries=300).collect()}
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_many_equal_vectors_are_one_class(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3, 16))
+    x[1] = x[0] * 1.01 + rng.normal(size=16) * 0.01
+    df = spark.createDataFrame([(i, x[0 if i % 3 else 1 + i // 3 % 2].tolist()) for i in range(30000)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in nearvec.link_vectors(df).collect()}
+    assert all(got[i] == (24999 if i % 3 or i // 3 % 2 == 0 else 4999) for i in range(30000))
 
 
 def test_vectors_edge_cases(spark):
     kinds = "vec_id long, embedding array<float>, label int"
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 2), (3, [0.0, 0.0], 1), (4, None, 1), (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [1.0], 1), (None, [1.0, 0.0], 1), (8, [], 1), (9, [float("inf"), 0.0], None), (2, [2.0, 0.0], 2)]
     got = sorted((tuple(r) for r in nearvec.link_vectors(spark.createDataFrame(rows, kinds)).collect()), key=repr)
-    want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (None, 0, None, None)] + [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)]
+    want = [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (None, 0, None, None)] + [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)]
     assert got == sorted(want, key=repr)
     assert nearvec.link_vectors(spark.createDataFrame([], kinds)).count() == 0
+    rows = [(1, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [0.0, 1.0], 1), (7, [0.0, 1.0], 2), (8, [0.0, 2.0], 1), (9, [-1.0, 0.0], 1), (10, [0.0, 0.0], 1), (11, [0.0, 0.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in nearvec.link_vectors(spark.createDataFrame(rows, kinds)).collect())
+    assert got == [(1, 1, 1), (5, 1, 1), (5, 2, 1), (7, 2, 1), (7, 2, 1), (8, 2, 1), (9, 0, 9), (10, 0, 10), (11, 0, 11)]
     assert [r.n_links for r in nearvec.link_vectors(spark.createDataFrame([(1, None, 1)], kinds)).collect()] == [0]
 
 
