@@ -1,18 +1,23 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of its block elements and links; inline formatting only lends its
-text. Every node has C characters and T tags, and LC and LT of these in links; its
-density is its characters per tag, adjusted for links:
+A page becomes a tree in which every element is a node. A node has C characters and T
+tags below it, and LC and LT of these in links; its density is its characters per tag,
+adjusted for links:
 
     C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e^2)
 
 (zeros count as 1; Cb and LCb are the body's; e^2 keeps b above 1). A node's sum is that
-of its children's densities. The least density on the way from the body to the node
-of the largest sum is the threshold; among nodes of at least that density, the one
-of the largest sum is the main text's subtree, or the article or main element around it.
-Elements that are by their name, role, class or id no part of an article are left out;
-but not by class or id if they hold an article or main element, or most of the unlinked
-text while no article or main element stands beside them.
+of its children's densities. The node of the largest sum sets the threshold, the least density
+on the way from the body to it; among nodes of at least that density, the one of the
+largest sum is the main text's subtree. It widens to the article or main element around
+it; without one, to its parent while elements of the same name beside it reach the
+threshold too, as the sections of one text do.
+
+Elements that are by their name or role no part of an article are left out: they count
+to the characters and tags around them, but not to the sums. So are block elements whose
+class or id names them as such as a whole (all parts of one of its words do); but not if
+they hold an article or main element, or most of the unlinked text while no article or
+main element stands beside them.
 """
 
 from __future__ import annotations
@@ -38,29 +43,38 @@ NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist disqus reply replies nav navbar navigation menu breadcrumb breadcrumbs "
     "footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login widget toolbar pagination pager skip".split()
 )
+#: What else a word of class or id can be made of that has one of NAMES in it.
+BESIDE = frozenset("site page top bottom left right main global primary secondary box bar area section list block slot unit wrapper wrap container inner outer post posts user reader form links buttons item items thread row col".split())
 #: A start tag of the first ends an open element of the second, up to the third.
 P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SAME_ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "option": (("option",), ("select",)), "tbody": (("tbody", "thead", "tfoot"), ("table",)), "tfoot": (("tbody", "thead"), ("table",)), "a": (("a",), ("table", "td", "th", "li", "div"))}
 P_SCOPE = frozenset("html body article aside section main div table td th li dd dt caption button form blockquote figure header footer nav".split())
 
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("title meta link script style base noscript template".split())
+
 TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|</(?P<end>[A-Za-z][^\s/>]*+)[^>]*(?:>|\Z)"
-    r"|<(?P<start>[A-Za-z][^\s/>]*+)(?P<rest>(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|</(?P<end>[A-Za-z][^\s/>]*+)[^>]*+(?:>|\Z)"
+    r"|<(?P<start>[A-Za-z][^\s/>]*+)(?P<rest>(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?P<shut>>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-WORD = re.compile(r"[a-z0-9]+")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
+PART = re.compile(r"[a-z0-9]+")
+#: Elements whose text goes on in the line around them.
+IN_LINE = INLINE | RAW | VOID - {"br", "hr"} | {"a"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "main")
+    __slots__ = ("tag", "parent", "children", "items", "why", "main", "link", "chars", "tags", "link_chars", "link_tags", "plain", "mains", "around", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, main: bool = False):
-        self.tag, self.parent, self.main = tag, parent, main
+    def __init__(self, tag: str, parent: Node | None, why: int = 0, main: bool = False):
+        self.tag, self.parent, self.why, self.main = tag, parent, why, main
+        self.around = main + (parent.around if parent is not None else 0)  # article or main elements it stands in
+        self.link = tag == "a" or parent is not None and parent.link
         self.children: list[Node] = []
         self.items: list[str | Node] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.plain = self.mains = 0
         self.density = self.total = 0.0
         if parent is not None:
             parent.children.append(self)
@@ -71,78 +85,74 @@ class Node:
 KEPT, NAMED, OUT = range(3)
 
 
+def _named(words: str) -> bool:
+    for word in words.split():
+        parts = PART.findall(word)
+        if not NAMES.isdisjoint(parts) and all(x in NAMES or x in BESIDE or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 def _left_out(tag: str, rest: str, in_main: bool) -> tuple[int, bool]:
-    """(why an element is no part of an article, whether its attributes name it the main one)."""
+    """(why an element is no part of an article, whether it is by name or attributes the main one)."""
     if tag in LEFT_OUT or tag == "header" and not in_main:
         return OUT, False
+    main = tag in MAIN
     if "=" not in rest:
-        return OUT if "hidden" in rest.lower().split() else KEPT, False
+        return OUT if not main and "hidden" in rest.lower().split() else KEPT, main
     have = {}
     for m in ATTRIBUTE.finditer(rest):
         have.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     role = have.get("role", "")
-    main = role in ("main", "article") or have.get("itemprop") == "articlebody"
-    if tag in MAIN or tag in ("html", "body") or main:
-        return KEPT, main
+    if main or role in ("main", "article") or have.get("itemprop") == "articlebody":
+        return KEPT, True
     bare = ATTRIBUTE.sub(" ", rest).lower().split()
     hidden = "hidden" in bare or "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "")
     if hidden or role in ROLES:
         return OUT, False
-    names = NAMES.intersection(WORD.findall(have.get("class", "") + " " + have.get("id", "")))
-    return NAMED if names - {"header"} or names and not in_main else KEPT, False
+    named = tag not in INLINE and tag not in ("a", "header") and _named(have.get("class", "") + " " + have.get("id", ""))
+    return NAMED if named else KEPT, False
 
 
-def parse(html: str) -> Node:
-    """The tree of a page. Elements that are left out count to the body's characters and
-    links, but have no nodes."""
-    body, spare = _parse(html, frozenset())
-    return _parse(html, spare)[0] if spare else body
+class _Open:
+    """The open elements; where the last one of a name stands is found without a search."""
+
+    def __init__(self, body: Node):
+        self.nodes = [body]
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]  # places of P_SCOPE
+        self.mains = 0
+
+    def last(self, *tags: str) -> int:
+        """Place of the last open element of these names, 0 for none."""
+        return max((at[-1] for tag in tags if (at := self.at.get(tag))), default=0)
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(k)
+        if node.tag in P_SCOPE:
+            self.scopes.append(k)
+        self.mains += node.main
 
+    def close(self, k: int) -> None:
+        while len(self.nodes) > k:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if self.scopes[-1] == len(self.nodes):
+                self.scopes.pop()
+            self.mains -= node.main
 
-def _parse(html: str, spare: frozenset[int]) -> tuple[Node, frozenset[int]]:
-    """(the tree, where elements start whose class or id is no reason to leave them out);
-    those that start at ``spare`` are not left out for it."""
+
+def parse(html: str) -> Node:
+    """The tree of a page, in time linear in its length."""
     body = Node("body", None)
-    at, here = 0, body
-    stack: list[tuple[str, Node]] = [("body", body)]  # open elements; inline ones share the node around
-    out = 0  # depth in the stack from which all is left out, 0 for none
-    links = 0
-    hard = 0  # the same for what is left out but by class or id
-    plain = mains = 0  # unlinked characters and article or main elements so far, outside of hard
-    around: list[int] = []  # depths of the open ones of mains
-    named: list[tuple[int, int, int, int, int]] = []  # open elements out by class or id: depth, start, plain, mains, around before
-    held: list[tuple[int, int, int, int]] = []  # closed ones: start, unlinked characters, mains inside and around
-
-    def close(k: int) -> None:
-        nonlocal here, out, links, hard
-        while named and named[-1][0] >= k:
-            _, start, chars_before, mains_before, n_around = named.pop()
-            held.append((start, plain - chars_before, mains - mains_before, n_around))
-        while around and around[-1] >= k:
-            around.pop()
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
-        del stack[k:]
-        here = stack[-1][1]
-        if out and len(stack) <= out:
-            out = 0
-        if hard and len(stack) <= hard:
-            hard = 0
+    stack = _Open(body)
+    at, n = 0, len(html)
 
     def text(piece: str) -> None:
-        nonlocal plain
-        if "&" in piece:
-            piece = unescape(piece)
-        n = sum(map(len, piece.split()))
-        if not hard and not links:
-            plain += n
-        if out:
-            body.chars += n
-            body.link_chars += n if links else 0
-        else:
-            here.items.append(piece)
+        stack.nodes[-1].items.append(unescape(piece) if "&" in piece else piece)
 
-    n = len(html)
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
@@ -155,72 +165,33 @@ def _parse(html: str, spare: frozenset[int]) -> tuple[Node, frozenset[int]]:
             text(m["cdata"])
         elif m["end"]:
             tag = m["end"].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag == "p" and not out:
-                    here.items.append(" ")
-        elif m["start"]:
+            k = stack.last(tag)
+            if k:
+                stack.close(k)
+            elif tag == "p":
+                Node("p", stack.nodes[-1])
+        elif m["start"] and m["shut"]:  # a tag that never ends is none
             tag, rest = m["start"].lower(), m["rest"]
+            if "head" in stack.at and tag not in HEAD and (k := stack.last("head")):
+                stack.close(k)
             if tag in ("html", "body"):
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = end.end() if end else n
-                if not out:
-                    here.items.append(" " if tag == "template" else "")
-                continue
-            if tag in VOID:
-                if not out and tag not in INLINE:
-                    here.items.append(" " if tag in ("br", "hr") else "")
+                Node(tag, stack.nodes[-1], OUT)
                 continue
-            if tag in P_ENDS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in P_SCOPE:
-                        break
+            if tag in P_ENDS and (k := stack.last("p")) > stack.scopes[-1]:
+                stack.close(k)
             if tag in SAME_ENDS:
                 ends, scope = SAME_ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        close(k)
-                        break
-                    if stack[k][0] in scope:
-                        break
-            if rest.endswith("/") and tag in INLINE:
+                if (k := stack.last(*ends)) > stack.last(*scope):
+                    stack.close(k)
+            if tag in VOID or rest.endswith("/") and tag in INLINE:
+                Node(tag, stack.nodes[-1])
                 continue
-            links += tag == "a"
-            why, main = _left_out(tag, rest, any(x.main or x.tag in MAIN for _, x in stack))
-            if why == NAMED and m.start() in spare:
-                why = KEPT
-            elif why == NAMED and not hard:
-                named.append((len(stack), m.start(), plain, mains, len(around)))
-            elif why == OUT and not hard:
-                hard = len(stack)
-            if not hard and (main or tag in MAIN):
-                mains += 1
-                around.append(len(stack))
-            if out:
-                body.link_tags += tag == "a"
-                body.tags += 1
-                stack.append((tag, here))
-                continue
-            if why:
-                out = len(stack)
-                body.tags += 1
-                here.items.append(" ")
-                stack.append((tag, here))
-            elif tag in INLINE:
-                stack.append((tag, here))
-            else:
-                here = Node(tag, here, main)
-                stack.append((tag, here))
-    close(1)
-    return body, frozenset(start for start, chars, inside, n_around in held if inside or 2 * chars > plain and mains == n_around)
+            stack.push(Node(tag, stack.nodes[-1], *_left_out(tag, rest, stack.mains > 0)))
+    return body
 
 
 def _weigh(body: Node) -> list[Node]:
@@ -232,11 +203,20 @@ def _weigh(body: Node) -> list[Node]:
         todo += reversed(node.children)
     for node in reversed(nodes):
         own = sum(len(w) for x in node.items if isinstance(x, str) for w in x.split())
-        node.chars += own + sum(c.chars for c in node.children)
-        node.tags += sum(c.tags + 1 for c in node.children)
-        link = node.tag == "a"
-        node.link_chars = node.chars if link else node.link_chars + sum(c.link_chars for c in node.children)
-        node.link_tags = node.tags + 1 if link else node.link_tags + sum(c.link_tags for c in node.children)
+        node.chars += own
+        node.plain += 0 if node.link else own
+        node.mains += node.main
+        if node.link:
+            node.link_chars, node.link_tags = node.chars, node.tags
+        up = node.parent
+        if up is not None:
+            up.chars += node.chars
+            up.tags += node.tags + 1
+            up.link_chars += node.link_chars
+            up.link_tags += node.link_tags + node.link
+            if node.why != OUT:
+                up.plain += node.plain
+                up.mains += node.mains
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
         c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
@@ -244,8 +224,18 @@ def _weigh(body: Node) -> list[Node]:
             root = math.log(c / max(1, c - lc) * lc + share * c + math.e**2)
             node.density = c / t * max(0.0, math.log(c / max(1, lc) * t / lt)) / math.log(root)
     for node in nodes:
-        node.total = sum(c.density for c in node.children)
-    return nodes
+        # a name is no reason against what holds the article, or most of the text with none beside
+        if node.why == NAMED and (node.mains or 2 * node.plain > body.plain and body.mains == node.around):
+            node.why = KEPT
+    kept: list[Node] = []
+    for node in nodes:
+        if node.why or node.parent is not None and node.parent.why:
+            node.why = node.why or OUT
+        else:
+            kept.append(node)
+    for node in kept:
+        node.total = sum(x.density for x in node.children if not x.why)
+    return kept
 
 
 def main_node(body: Node) -> Node:
@@ -259,9 +249,13 @@ def main_node(body: Node) -> Node:
         threshold = min(threshold, x.density)
     best = max((x for x in nodes if x.density >= threshold), key=lambda x: x.total, default=top)
     x = best
-    while x is not None and not (x.main or x.tag in MAIN):
+    while x is not None and not x.main:
         x = x.parent
-    return x or best
+    if x is not None:
+        return x
+    while best.parent is not None and any(y is not best and y.tag == best.tag and not y.why and y.total and y.density >= threshold for y in best.parent.children):
+        best = best.parent
+    return best
 
 
 def text_of(node: Node) -> str:
@@ -273,8 +267,8 @@ def text_of(node: Node) -> str:
         if isinstance(x, str):
             pieces.append(x)
         else:
-            space = [] if x.tag == "a" else [" "]
-            todo += [*space, *reversed(x.items), *space]
+            space = [] if x.tag in IN_LINE else [" "]
+            todo += [*space, *([] if x.why else reversed(x.items)), *space]
     return " ".join("".join(pieces).split())
 
 
