@@ -7,6 +7,7 @@ import os
 import random
 import re
 import struct
+import textwrap
 import time
 import zipfile
 import zlib
@@ -15,7 +16,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillon.llm import base, html, licences, packing, quality, queries, urls, warc
+from quillon.llm import base, html, licence_texts, licences, packing, quality, queries, urls, warc
 from quillon.llm import words as W
 
 DOCS = "doc_id long, text string, lang string, n long, score string"
@@ -75,18 +76,39 @@ def test_every_passage_counts():
 
 # licences
 def test_licences_by_canonical_digest(spark):
-    isc = dict(licences.NOTICES)["isc"]
+    isc = "ISC License\n\n" + next(texts[0] for spdx, _, texts in licence_texts.TEXTS if spdx == "isc")
     variant = "Copyright (c) 1999 Somebody\n" + isc.upper().replace(",", " ,  ").replace("\n", "\n\n\n")
-    texts = [(1, isc), (2, variant), (3, isc + " more"), (4, "a\n RELEASED under the  MIT-License\nb"), (5, "Released under the MIT Licence."), (6, None), (7, " \n!"), (None, isc), (8, "x " * 100_000 + "\nLicensed under CC BY-NC 4.0"), (4, "Licensed under CC BY NC 4.0.")]
-    docs = spark.createDataFrame([(i, t, "l", 1, "s") for i, t in texts], DOCS)
+    texts = [(1, isc), (2, variant), (3, isc + " more"), (4, "a\n RELEASED under the  MIT-License\nb"), (5, "Released under the MIT Licence."), (6, None), (7, " \n!"), (None, isc), (8, "x " * 100_000 + "\nLicensed under CC BY-NC 4.0"), (9, "Licensed under CC BY NC 4.0.\nthis project is licenced under the terms of the MIT license\nq\nSPDX-License-Identifier: MIT")]
+    docs = spark.createDataFrame([(i, t, "l", 1, "s") for i, t in [*texts, (4, "clean"), (1, isc)]], DOCS)
     out = [tuple(r) for r in licences.scan_licences(docs, licences.known_licences(spark)).collect()]
     by = {r[0]: r for r in out if r[0] != 4}
-    assert len(out) == len(texts)
+    assert len(out) == len(texts) + 2
     assert [by[i][2] for i in (1, 2, 3, 5, None)] == ["isc", "isc", None, "mit", "isc"] and by[1][1] == by[2][1]
-    assert by[6][1:] == (None, None, None, 0) and by[7][1:] == (None, None, None, 0) and by[None][3:] == (None, 0)
-    assert {r[3:] for r in out if r[0] == 4} == {("cc-by-nc-4.0,mit", 2)} and by[8][3] == "cc-by-nc-4.0" and by[3][3] is None
+    assert by[6][1:] == (None, None, None, 0) and by[7][1:] == (None, None, None, 0) and by[5][3:] == ("mit", 1)
+    assert sorted((r[3:] for r in out if r[0] == 4), key=repr) == [("mit", 1), (None, 0)] and by[8][3] == "cc-by-nc-4.0" and by[9][3:] == ("cc-by-nc-4.0,mit", 3)
     assert licences.scan_licences(docs.where("doc_id < 0"), licences.known_licences(spark)).count() == 0
     assert licences.scan_licences(docs, licences.known_licences(spark).where("licence = ''")).where("licence is not null").count() == 0
+    plan = docs.sparkSession._jvm.PythonSQLUtils.explainString(licences.scan_licences(docs, licences.known_licences(spark))._jdf.queryExecution(), "simple")
+    assert plan.count("Generate inline") >= 1 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_licence_texts(spark):
+    """Every text, wrapped, with a copyright line, in other case and spelling."""
+    rows = []
+    for spdx, titles, texts in licence_texts.TEXTS:
+        for title in ["", *titles]:
+            for text in texts:
+                wrapped = "\n".join(line for part in text.split("\n") for line in textwrap.wrap(part, 70) or [""])
+                rows.append((spdx, f"{title}\n\nCopyright (c) 2020-2021, The Authors. All rights reserved.\n\n{wrapped}\n".replace("license", "licence").replace('"', "\u201d")))
+    for spdx, name in (("apache-2.0", "Apache-2.0"), ("gpl-2.0", "GPL-2"), ("gpl-3.0", "GPL-3"), ("lgpl-2.1", "LGPL-2.1"), ("mpl-2.0", "MPL-2.0"), ("cc0-1.0", "CC0-1.0")):
+        path = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                rows.append((spdx, f.read().upper()))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    out = {r.doc_id: r.licence for r in licences.scan_licences(docs, licences.known_licences(spark)).collect()}
+    same = {"bsd-2-clause", "0bsd"}
+    assert [(s, out[i]) for i, (s, _) in enumerate(rows) if out[i] != s and s not in same] == [] and len(rows) > 40
 
 
 # packing
