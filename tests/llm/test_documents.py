@@ -99,7 +99,7 @@ def test_whole_licence_texts(spark):
         for title in ["", *titles]:
             for text in texts:
                 wrapped = "\n".join(line for part in text.split("\n") for line in textwrap.wrap(part, 70) or [""])
-                rows.append((spdx, f"{title}\n\nCopyright (c) 2020-2021, The Authors. All rights reserved.\n\n{wrapped}\n".replace("license", "licence").replace('"', "\u201d")))
+                rows.append((spdx, f"{title}\n\nCopyright (c) 2020-2021, The Authors. All rights reserved.\n\n{wrapped}\n".replace(" license", " licence").replace('"', "\u201d")))
     for spdx, name in (("apache-2.0", "Apache-2.0"), ("gpl-2.0", "GPL-2"), ("gpl-3.0", "GPL-3"), ("lgpl-2.1", "LGPL-2.1"), ("mpl-2.0", "MPL-2.0"), ("cc0-1.0", "CC0-1.0")):
         path = f"/usr/share/common-licenses/{name}"
         if os.path.exists(path):
