@@ -44,7 +44,7 @@ HEIGHT, LEAST = 20, 4
 #: Shortest window whose every repeat the first rounds reveal.
 LEAST_WINDOW = 50
 #: Bytes of text of a bucket.
-BUCKET = 8 << 20
+BUCKET = 4 << 20
 _U = np.uint64
 _FLAGS = 1 << 20
 _COIN = W._splitmix(19, 64)
@@ -404,7 +404,7 @@ def cut_repeats(docs: DataFrame, window: int = LEAST_WINDOW, carry: tuple[str, .
     base.tune(spark)
     n = base.parts(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * n, -(-size // BUCKET))
+    buckets = max(8 * n, -(-size // BUCKET))  # several a task, so that tasks are alike
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
     # equal rows part by the place they come from, too
     bucket = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(buckets)).alias("bucket")
