@@ -63,23 +63,24 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Index:
-    """Fingerprints, posted in each of BLOCKS tables under all near values of that block."""
+    """Fingerprints by group, posted in each of BLOCKS tables under all near values of that block."""
 
-    def __init__(self, prints: np.ndarray):
+    def __init__(self, prints: np.ndarray, groups: np.ndarray):
         self.prints = prints
         self.values, self.items = [], []
         ball = _ball()
         for b in range(BLOCKS):
-            value = (prints[:, b][:, None] ^ ball[None]).ravel()
+            value = ((groups.astype(np.uint32) << BITS)[:, None] | (prints[:, b][:, None] ^ ball[None])).ravel()
             order = np.argsort(value, kind="stable")
             self.values.append(value[order])
             self.items.append((order // len(ball)).astype(np.int32))
 
-    def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) numbers that share a near block, each pair once."""
+    def candidates(self, windows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) numbers of one group that share a near block, each pair once."""
         found = []
         for b in range(BLOCKS):
-            low, high = (np.searchsorted(self.values[b], windows[:, b], side=side) for side in ("left", "right"))
+            key = groups.astype(np.uint32) << BITS | windows[:, b]
+            low, high = (np.searchsorted(self.values[b], key, side=side) for side in ("left", "right"))
             n = high - low
             row = np.repeat(np.arange(len(windows)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
@@ -87,50 +88,62 @@ class Index:
         pairs = np.unique(np.concatenate(found))
         return pairs // len(self.prints), pairs % len(self.prints)
 
-    def near(self, windows: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) numbers within the radius."""
+    def near(self, windows: np.ndarray, groups: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) numbers of one group within the radius."""
         step = max(1, (1 << 21) // len(self.prints))
         for a in range(0, len(windows), step):
-            row, item = self.candidates(windows[a : a + step])
+            row, item = self.candidates(windows[a : a + step], groups[a : a + step])
             on = distance(windows[a + row], self.prints[item]) <= RADIUS
             yield from zip((a + row[on]).tolist(), item[on].tolist(), strict=True)
 
 
 class Items:
-    """Benchmark items by (shingle width, shingles), each group with its multi-index."""
+    """Benchmark items in groups of one shingle width and number of shingles."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], width: int):
-        self.groups: dict[tuple[int, int], list[tuple[int | None, Counter]]] = defaultdict(list)
-        self.prints: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
-        known = defaultdict(list)
+        self.groups: dict[tuple[int, int], int] = {}
+        self.items: list[tuple[int | None, Counter]] = []
+        known, prints, group = defaultdict(list), [], []
         for item, text in rows:
             words = W.Chunk(np.zeros(1), [(text or "").encode()], True).hashes
             if not len(words):
                 continue
             h = W.shingles(words, width)
             key = (min(width, len(words)), len(h))
-            self.groups[key].append((item, Counter(h.tolist())))
-            self.prints[key].append(fingerprints(h, len(h))[0])
+            group.append(self.groups.setdefault(key, len(self.groups)))
+            self.items.append((item, Counter(h.tolist())))
+            prints.append(fingerprints(h, len(h))[0])
             known[key[0]].append(h)
+        self.prints, self.group = np.array(prints, dtype=np.uint16).reshape(-1, BLOCKS), np.array(group, dtype=np.uint32)
         self.known = {w: np.unique(np.concatenate(h)) for w, h in known.items()}
 
-    def index(self) -> dict[tuple[int, int], Index]:
+    def index(self) -> Index:
         """Built by each task, as it is far larger than what it is built from."""
-        return {k: Index(np.array(v)) for k, v in self.prints.items()}
+        return Index(self.prints, self.group)
 
 
-def _near(h: np.ndarray, n: int, low: int, high: int, index: Index) -> Iterator[tuple[int, int]]:
-    """(start, item number) of the windows of n shingles that start from low to high - 1."""
-    for a in range(low, high, WINDOWS):
-        for i, k in index.near(fingerprints(h[a : min(a + WINDOWS, high) + n - 1], n)):
-            yield a + i, k
-
-
-def leaks(words: np.ndarray, items: Items, index: dict[tuple[int, int], Index], hits: dict[int, np.ndarray], at_least: float) -> dict[int, tuple[float, int, int, int | None]]:
+def leaks(words: np.ndarray, items: Items, index: Index, hits: dict[int, np.ndarray], at_least: float) -> list[tuple[float, int, int, int | None]]:
     """Best (similarity, first word, words, item id) for each item that a text holds; hits:
     places of the items' shingles in it, by shingle width."""
-    best: dict[tuple, tuple] = {}
+    best: dict[int, tuple] = {}
     shingled = {width: W.shingles(words, width) for width in hits if len(words) >= width}
+    held: list[tuple] = []  # fingerprints, group, first starts, width and shingles of some windows
+
+    def search() -> None:
+        prints = np.concatenate([x[0] for x in held])
+        sizes = [len(x[0]) for x in held]
+        first = np.cumsum([0, *sizes])
+        for i, k in index.near(prints, np.repeat(np.array([x[1] for x in held], dtype=np.uint32), sizes)):
+            at = int(np.searchsorted(first, i, side="right")) - 1
+            _, _, start, width, n = held[at]
+            start += i - int(first[at])
+            item, known = items.items[k]
+            s = similarity(Counter(shingled[width][start : start + n].tolist()), known)
+            if s >= at_least and (k not in best or (-s, start) < (-best[k][0], best[k][1])):
+                best[k] = (s, start, n + width - 1, item)
+        held.clear()
+
+    waiting = 0
     for (width, size), group in items.groups.items():
         h, at = shingled.get(width), hits.get(width)
         if h is None or at is None or not len(at):
@@ -138,17 +151,20 @@ def leaks(words: np.ndarray, items: Items, index: dict[tuple[int, int], Index],
         n = min(size, len(h))
         if n < at_least * size:
             continue
-        edge = np.zeros(len(h) - n + 2, dtype=np.int64)
-        np.add.at(edge, np.maximum(at - n + 1, 0), 1)
-        np.add.at(edge, np.minimum(at, len(h) - n) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-            for start, k in _near(h, n, int(run[0]), int(run[-1]) + 1, index[width, size]):
-                s = similarity(Counter(h[start : start + n].tolist()), group[k][1])
-                key = (width, size, k)
-                if s >= at_least and (key not in best or (-s, start) < (-best[key][0], best[key][1])):
-                    best[key] = (s, start, n + width - 1, group[k][0])
-    return best
+        # runs of starts of windows that hold one of the shingles
+        low, high = np.maximum(at - n + 1, 0), np.minimum(at, len(h) - n)
+        new = np.flatnonzero(np.append(True, low[1:] > np.maximum.accumulate(high)[:-1] + 1))
+        for a, e in zip(low[new].tolist(), (np.maximum.accumulate(high)[np.append(new[1:], len(at)) - 1] + 1).tolist(), strict=True):
+            for start in range(a, e, WINDOWS):
+                stop = min(start + WINDOWS, e)
+                held.append((fingerprints(h[start : stop + n - 1], n), group, start, width, n))
+                waiting += stop - start
+                if waiting >= WINDOWS:
+                    search()
+                    waiting = 0
+    if held:
+        search()
+    return list(best.values())
 
 
 def _search(items: Items, at_least: float):
@@ -175,7 +191,7 @@ def _search(items: Items, at_least: float):
                     a, e = chunk.bounds[i], chunk.bounds[i + 1]
                     hits = {w: at[np.searchsorted(at, a) : np.searchsorted(at, e - w + 1)] - a for w, at in places.items()}
                     if any(map(len, hits.values())):
-                        out += [(ids[row], item, start, n, s) for s, start, n, item in leaks(chunk.hashes[a:e], items, index, hits, at_least).values()]
+                        out += [(ids[row], item, start, n, s) for s, start, n, item in leaks(chunk.hashes[a:e], items, index, hits, at_least)]
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 

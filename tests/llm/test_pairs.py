@@ -282,17 +282,19 @@ def test_decontamination_matches_brute_force(spark):
 def test_multi_index_finds_all_within_the_radius_and_little_else(n):
     rng = np.random.default_rng(1)
     own = rng.integers(0, 1 << 16, (n, decontam.BLOCKS), dtype=np.uint16)
-    index = decontam.Index(own)
+    groups = rng.integers(0, 1 << 10, n) * (n == 4096)
+    index = decontam.Index(own, groups)
     windows = rng.integers(0, 1 << 16, (400, decontam.BLOCKS), dtype=np.uint16)
     of = rng.integers(0, n, 200)
     for k in range(200):
         bits = np.zeros(128, dtype=np.uint8)
         bits[rng.choice(128, decontam.RADIUS, replace=False)] = 1
         windows[k] = own[of[k]] ^ np.packbits(bits).view(np.uint16)
-    near = set(index.near(windows))
+    theirs = np.concatenate([groups[of], groups[of]])
+    near = set(index.near(windows, theirs))
     assert {(k, int(of[k])) for k in range(200)} <= near
-    assert near == {(i, k) for i in range(400) for k in np.flatnonzero(decontam.distance(windows[i][None], own) <= decontam.RADIUS).tolist()}
-    row, _ = index.candidates(windows[200:])
+    assert near == {(i, k) for i in range(400) for k in np.flatnonzero((groups == theirs[i]) & (decontam.distance(windows[i][None], own) <= decontam.RADIUS)).tolist()}
+    row, _ = index.candidates(windows[200:], theirs[200:])
     assert len(row) < 0.11 * 200 * n
 
 
