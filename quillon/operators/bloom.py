@@ -1,8 +1,9 @@
-"""Bloom filters as tables of set bit positions: deterministic and free of private APIs.
+"""Bloom filters: deterministic, keyed, and packed.
 
-A filter of m bits and k hashes keeps, for each item, the positions
-(h1 + i * h2) mod m for i < k. Building is a distinct, probing a join of the distinct
-items' positions; an item is reported where all k are set.
+A filter of m bits and k hashes sets, for each item, the bits (h1 + i * h2) mod m for
+i < k. Bits are a table (key, word, bits) with 64 of them in a row, merged by bit_or, which
+Spark does in part before the shuffle; so a filter costs what its bits cost, however many
+items it has. An item is reported where all of its bits are set.
 """
 
 from __future__ import annotations
@@ -12,8 +13,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.generic import literal
 
-def clamp(capacity: int, fpr: float = 0.01) -> tuple[int, float]:
+BITS = "key string, word bigint, bits bigint"
+#: Shape of a filter that BF.ADD makes.
+CAPACITY, RATE = 1_000_000, 0.01
+#: Name of the one filter of build() and probe().
+ONE = ""
+
+
+def clamp(capacity: int, fpr: float = RATE) -> tuple[int, float]:
     return max(10, capacity), min(0.5, max(1e-4, fpr))
 
 
@@ -24,35 +33,85 @@ def shape(capacity: int, fpr: float) -> tuple[int, int]:
     return m, min(32, max(1, math.ceil(-math.log2(fpr))))
 
 
-def positions(item: Column, m: int, k: int) -> Column:
-    a = F.pmod(F.xxhash64(item), F.lit(m).cast("bigint"))
-    b = F.pmod(F.hash(item).cast("bigint"), F.lit(m).cast("bigint"))
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(a + i.cast("bigint") * b, F.lit(m).cast("bigint")))
+def shapes(capacity: Column, fpr: Column) -> tuple[Column, Column]:
+    """The same of columns."""
+    capacity, fpr = F.greatest(F.lit(10), capacity), F.least(F.lit(0.5), F.greatest(F.lit(1e-4), fpr))
+    m = F.greatest(F.lit(8), F.ceil(-capacity * F.log(fpr) / F.pow(F.log(F.lit(2.0)), F.lit(2))))
+    return m.cast("bigint"), F.least(F.lit(32), F.greatest(F.lit(1), F.ceil(-F.log2(fpr)))).cast("int")
+
+
+def positions(item: Column, m: Column, k: Column) -> Column:
+    a, b = F.pmod(F.xxhash64(item), m), F.pmod(F.hash(item).cast("bigint"), m)
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.pmod(a + i.cast("bigint") * b, m))
+
+
+def _words(items: DataFrame, blooms: DataFrame, *carry: str) -> DataFrame:
+    """items(key, item, ...) -> (key, ..., word, bits), a row for each word that an item sets bits in."""
+    m, k = shapes(F.col("capacity"), F.col("fpr"))
+    rows = items.join(blooms.select("key", "capacity", "fpr"), "key").select("key", *carry, F.explode(positions(F.col("item"), m, k)).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
+    return rows.select("key", *carry, F.floor(F.col("at") / 64).alias("word"), bit.alias("bits"))
+
+
+def reserve(blooms: DataFrame, key: str, capacity: int, fpr: float = RATE) -> DataFrame:
+    """BF.RESERVE."""
+    if capacity <= 0 or not 0 < fpr < 1:
+        raise ValueError("a capacity above 0 and a rate between 0 and 1")
+    if blooms.where(F.col("key") == key).count():
+        raise ValueError("key already exists")
+    return blooms.unionByName(literal(blooms.sparkSession, [(key, capacity, fpr, 0)], "key string, capacity bigint, fpr double, items_added bigint"))
+
 
+def exists(blooms: DataFrame, bits: DataFrame, items: DataFrame) -> DataFrame:
+    """BF.EXISTS, BF.MEXISTS: items(key, item) -> (key, item, found): 1 for every item that
+    was added, for a share of about fpr of the others, and 0 where there is no filter."""
+    asked = items.select("key", "item").distinct()
+    need = _words(asked, blooms, "item").groupBy("key", "item", "word").agg(F.bit_or("bits").alias("need"))
+    hit = need.join(bits, ["key", "word"], "left").withColumn("hit", F.col("need").bitwiseAND(F.coalesce("bits", F.lit(0))) == F.col("need"))
+    found = hit.groupBy("key", "item").agg(F.min(F.col("hit").cast("int")).alias("found"))
+    return asked.join(found, ["key", "item"], "left").select("key", "item", F.coalesce("found", F.lit(0)).alias("found"))
 
-def build(items: DataFrame, column: str, capacity: int = 1_000_000, fpr: float = 0.01) -> DataFrame:
-    """(bit): the set bits for all items."""
-    m, k = shape(capacity, fpr)
-    return items.select(F.explode(positions(F.col(column), m, k)).alias("bit")).distinct()
 
+def add(blooms: DataFrame, bits: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """BF.ADD, BF.MADD: items(key, item) -> (blooms, bits, (key, item, added) with 1 where the
+    item looked new). Filters that are not there are made; items_added counts the adds that
+    looked new. The items of one call are judged against the filter before it."""
+    made = items.select("key").distinct().join(blooms.select("key"), "key", "left_anti")
+    blooms = blooms.unionByName(made.select("key", F.lit(CAPACITY).cast("bigint").alias("capacity"), F.lit(RATE).alias("fpr"), F.lit(0).cast("bigint").alias("items_added")))
+    replies = exists(blooms, bits, items).select("key", "item", (1 - F.col("found")).alias("added"))
+    new = bits.unionByName(_words(items, blooms)).groupBy("key", "word").agg(F.bit_or("bits").alias("bits"))
+    counts = replies.groupBy("key").agg(F.sum("added").alias("n"))
+    blooms = blooms.join(counts, "key", "left").select("key", "capacity", "fpr", (F.col("items_added") + F.coalesce("n", F.lit(0))).alias("items_added"))
+    return blooms, new, replies
 
-def probe(bits: DataFrame, items: DataFrame, column: str, capacity: int = 1_000_000, fpr: float = 0.01) -> DataFrame:
-    """(item, found): 1 for every item that was added, and for a share of about fpr of the others."""
-    m, k = shape(capacity, fpr)
-    asked = items.select(F.col(column).alias("item")).distinct()
-    hits = asked.select("item", F.explode(F.array_distinct(positions(F.col("item"), m, k))).alias("bit"))
-    need = hits.join(bits.withColumn("one", F.lit(1)), "bit", "left")
-    return need.groupBy("item").agg((F.count("*") == F.count("one")).cast("int").alias("found"))
 
+def card(blooms: DataFrame, key: str) -> DataFrame:
+    """BF.CARD: one row, 0 where there is no filter."""
+    return blooms.where(F.col("key") == key).agg(F.coalesce(F.max("items_added"), F.lit(0)).alias("n"))
 
-def add(bits: DataFrame, items: DataFrame, column: str, capacity: int = 1_000_000, fpr: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """BF.MADD: (the new bits, (item, added) with 1 where the item looked new)."""
-    seen = probe(bits, items, column, capacity, fpr)
-    return bits.unionByName(build(items, column, capacity, fpr)).distinct(), seen.select("item", (1 - F.col("found")).alias("added"))
+
+def drop(blooms: DataFrame, bits: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    return blooms.where(F.col("key") != key), bits.where(F.col("key") != key)
+
+
+def _one(df: DataFrame, capacity: int, fpr: float) -> DataFrame:
+    return literal(df.sparkSession, [(ONE, capacity, fpr, 0)], "key string, capacity bigint, fpr double, items_added bigint")
+
+
+def build(items: DataFrame, column: str, capacity: int = CAPACITY, fpr: float = RATE) -> DataFrame:
+    """The bits of one filter for all items of a column."""
+    words = _words(items.select(F.lit(ONE).alias("key"), F.col(column).alias("item")), F.broadcast(_one(items, capacity, fpr)))
+    return words.groupBy("key", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def probe(bits: DataFrame, items: DataFrame, column: str, capacity: int = CAPACITY, fpr: float = RATE) -> DataFrame:
+    """(item, found) of a column's items."""
+    return exists(F.broadcast(_one(items, capacity, fpr)), bits, items.select(F.lit(ONE).alias("key"), F.col(column).alias("item"))).select("item", "found")
 
 
 def info(blooms: DataFrame) -> DataFrame:
     """(key, capacity, fpr, items_added, bits, hashes, memory, fill_percent)."""
-    bits = F.greatest(F.lit(8), F.ceil(-F.col("capacity") * F.log("fpr") / F.pow(F.log(F.lit(2.0)), F.lit(2))))
-    hashes = F.least(F.lit(32), F.greatest(F.lit(1), F.ceil(-F.log2("fpr"))))
-    return blooms.select("key", "capacity", "fpr", "items_added", bits.cast("bigint").alias("bits"), hashes.cast("bigint").alias("hashes"), F.ceil(bits / 8).cast("bigint").alias("memory"), (F.col("items_added") * 100.0 / F.col("capacity")).alias("fill_percent"))
+    bits, hashes = shapes(F.col("capacity"), F.col("fpr"))
+    return blooms.select("key", "capacity", "fpr", "items_added", bits.alias("bits"), hashes.cast("bigint").alias("hashes"), F.ceil(bits / 8).cast("bigint").alias("memory"), (F.col("items_added") * 100.0 / F.col("capacity")).alias("fill_percent"))
+
+

@@ -14,6 +14,11 @@ class WrongType(TypeError):
     """A key holds another type than the operator takes."""
 
 
+def ping(spark: SparkSession, message: str = "PONG") -> DataFrame:
+    """One row: the message."""
+    return literal(spark, [(message,)], "reply string")
+
+
 def literal(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 

@@ -71,6 +71,16 @@ def dumps(value: Any) -> str:
     return json.dumps(value, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
 
 
+def loads(text: str | None) -> tuple[bool, Any]:
+    """(whether it is a document, the document)."""
+    if text is None:
+        return False, None
+    try:
+        return True, json.loads(text)
+    except ValueError:
+        return False, None
+
+
 def get(doc: Column, path: str = "$") -> Column:
     """JSON text at the path; null where there is none. Several hits of a wildcard are an array."""
     if plain(path):
@@ -81,9 +91,10 @@ def get(doc: Column, path: str = "$") -> Column:
     @F.pandas_udf("string")
     def find(docs: pd.Series) -> pd.Series:
         def one(text):
-            if text is None:
+            good, root = loads(text)
+            if not good:
                 return None
-            hits = _find(json.loads(text), way)
+            hits = _find(root, way)
             return None if not hits else dumps(hits[0] if len(hits) == 1 else hits)
 
         return docs.map(one)
@@ -120,12 +131,16 @@ def objlen(doc: Column, path: str = "$") -> Column:
 
 
 def _write(doc: Column, path: str, change) -> Column:
-    """doc with change(container, last step) applied where the path's last step lies."""
+    """doc with change(root, steps) applied; null and malformed documents stay as they are."""
     way = steps(path)
 
     @F.pandas_udf("string")
     def written(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda text: None if text is None else dumps(change(json.loads(text), way)))
+        def one(text):
+            good, root = loads(text)
+            return dumps(change(root, way)) if good else text
+
+        return docs.map(one)
 
     return written(doc)
 
@@ -196,6 +211,7 @@ def del_(doc: Column, path: str) -> Column:
 
 
 def arrappend(doc: Column, path: str, *values: str) -> Column:
+    """The document with the values behind the array at the path; arrlen() of it is the reply."""
     def change(root: Any, way: list) -> Any:
         for hit in _find(root, way):
             if isinstance(hit, list):
@@ -205,7 +221,57 @@ def arrappend(doc: Column, path: str, *values: str) -> Column:
     return _write(doc, path, change)
 
 
+def _number(x: Any) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
 def numincrby(doc: Column, path: str, by: float) -> Column:
-    """The number at the path plus ``by``, as a double; null where there is none."""
+    """The number at the path plus ``by``, as a double; null where there is none. This is the
+    reply; incremented() is the document behind it."""
     v = F.try_parse_json(doc)
-    return F.try_variant_get(v, variant_path(path), "double") + F.lit(float(by))
+    v = F.try_variant_get(v, variant_path(path), "variant") if steps(path) else v
+    s = F.schema_of_variant(v)
+    number = (s == "BIGINT") | s.startswith("DECIMAL") | (s == "DOUBLE") | (s == "FLOAT")
+    return F.when(number, F.try_variant_get(v, "$", "double") + F.lit(float(by)))
+
+
+def incremented(doc: Column, path: str, by: float) -> Column:
+    """The document with ``by`` added to the number at the path; as it is where there is none."""
+
+    def change(root: Any, way: list) -> Any:
+        if not way:
+            return float(root) + by if _number(root) else root
+        found = _descend(root, way, False)
+        if found:
+            box, last = found
+            if isinstance(box, dict) and _number(box.get(str(last))):
+                box[str(last)] = float(box[str(last)]) + by
+            elif isinstance(box, list) and str(last).isdigit() and int(last) < len(box) and _number(box[int(last)]):
+                box[int(last)] = float(box[int(last)]) + by
+        return root
+
+    return _write(doc, path, change)
+
+
+def set_key(table: DataFrame, key: str, path: str, value: str, nx: bool = False, xx: bool = False) -> DataFrame:
+    """JSON.SET key path value: a missing key is made, from an empty object if the path is
+    not the root; NX and XX ask for the key."""
+    if nx and xx:
+        raise ValueError("NX and XX are mutually exclusive")
+    there = table.where(F.col("key") == key).limit(1).count() > 0
+    if nx and there or xx and not there:
+        return table
+    json.loads(value)
+    doc = F.lit(value) if not steps(path) else set_(F.col("doc"), path, value)
+    if there:
+        return table.withColumn("doc", F.when(F.col("key") == key, doc).otherwise(F.col("doc")))
+    fresh = table.sparkSession.createDataFrame([(key, "{}")], "key string, doc string")
+    return table.unionByName(fresh.select("key", doc.alias("doc")))
+
+
+def del_key(table: DataFrame, key: str, path: str = "$") -> DataFrame:
+    """JSON.DEL key path: the root goes with its key."""
+    mine = F.col("key") == key
+    if not steps(path):
+        return table.where(~mine)
+    return table.withColumn("doc", F.when(mine, del_(F.col("doc"), path)).otherwise(F.col("doc")))

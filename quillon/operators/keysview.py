@@ -44,7 +44,8 @@ def keys_view(ks: Keyspace, as_of: int | None = None) -> DataFrame:
         branch(ks.blooms, "bloom", F.ceil(bloom_bits() / 8) + BLOOM_FIXED, F.col("items_added")),
     ]
     label = F.aggregate(F.map_entries("labels"), F.lit(0), lambda a, e: a + size(e["key"]) + size(e["value"]) + LABEL_FIXED)
-    series = grouped(ks.series, SERIES_SAMPLE * n).join(ks.series_meta, "key")
+    samples = ks.series.select("key", "ts_ms").distinct()  # a sample that was written again counts once
+    series = grouped(samples, SERIES_SAMPLE * n).join(ks.series_meta, "key")
     branches.append(branch(series, "timeseries", m + F.coalesce(label, F.lit(0)) + SERIES_FIXED, c))
     keys = reduce(DataFrame.unionAll, branches)
     expiry = ks.meta.where("expire_ms is not null").select("key", "expire_ms")

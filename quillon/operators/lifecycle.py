@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.parsing import namespace_name
+from quillon.functions.parsing import glob_filter, namespace_name
 from quillon.operators.keysview import keys_view, ranked
 from quillon.sources.keyspace import Keyspace
 
@@ -99,10 +99,11 @@ def info(keys: DataFrame, log: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), "one").drop("one")
 
 
-def settings(keys_limit: int | None, spark) -> DataFrame:
+def settings(keys_limit: int | None, spark, pattern: str = "*") -> DataFrame:
     """CONFIG GET: (name, value) of the memory limit, the eviction policy and Spark's own settings."""
     own = [("maxmemory", str(keys_limit or 0)), ("eviction", "allkeys-lru")]
-    return spark.createDataFrame(own + sorted(spark.sparkContext.getConf().getAll()), "name string, value string")
+    rows = spark.createDataFrame(own + sorted(spark.sparkContext.getConf().getAll()), "name string, value string")
+    return rows.where(glob_filter(F.col("name"), pattern))
 
 
 def prometheus(df: DataFrame) -> DataFrame:

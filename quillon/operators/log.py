@@ -2,7 +2,9 @@
 
 Every class of commands folds by the means that scales for it: last writers by max_by,
 sets by the last command per member, lists (whose order matters) by one sorted fold per
-key. A DEL is a barrier: what stands before the last one of its key counts no more.
+key. A DEL and a SET are barriers: what stands before the last one of its key counts no
+more, whatever its type. What is left of a key has the type of its first command that
+creates one; commands for other types do nothing.
 """
 
 from __future__ import annotations
@@ -12,16 +14,34 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.operators.generic import last_of
 from quillon.sources.keyspace import Keyspace, empty
+from quillon.sources.shared import written
 
 SCHEMA = "seq bigint, op string, key string, args array<string>"
 #: Commands that a log keeps (fixed values).
 WRITES = (
-    "SET", "DEL", "EXPIRE", "INCR", "DECR", "INCRBY", "DECRBY", "APPEND", "MSET", "SETNX", "GETSET", "RENAME", "RENAMENX",
-    "LPUSH", "RPUSH", "LPOP", "RPOP", "LSET", "LTRIM", "LREM", "SADD", "SREM", "ZADD", "ZREM", "ZINCRBY", "HSET", "HMSET", "HDEL", "HINCRBY", "FLUSHDB",
+    "SET", "MSET", "APPEND", "SETRANGE", "INCR", "DECR",
+    "LPUSH", "RPUSH", "LPOP", "RPOP", "LSET", "LTRIM",
+    "SADD", "SREM",
+    "ZADD", "ZREM", "ZINCRBY", "ZPOPMIN", "ZPOPMAX", "ZREMRANGEBYRANK", "ZREMRANGEBYSCORE",
+    "HSET", "HSETNX", "HMSET", "HDEL", "HINCRBY", "HINCRBYFLOAT",
+    "DEL", "RENAME", "RENAMENX", "EXPIRE",
 )
+#: What commands that are folded work on, and which of them create a key.
+KINDS = {
+    "string": ("SET", "INCR", "DECR", "INCRBY", "DECRBY", "APPEND"),
+    "list": ("LPUSH", "RPUSH", "LPOP", "RPOP", "LTRIM", "LSET"),
+    "set": ("SADD", "SREM"),
+    "zset": ("ZADD", "ZREM"),
+    "hash": ("HSET", "HMSET", "HDEL"),
+}
+CREATE = ("SET", "INCR", "DECR", "INCRBY", "DECRBY", "APPEND", "LPUSH", "RPUSH", "SADD", "ZADD", "HSET", "HMSET")
+FLAGS = ("NX", "XX", "GT", "LT", "CH")
+#: Items of a command of a compacted log.
+CHUNK = 1024
 
 
 def is_write(op):
@@ -39,16 +59,37 @@ def write(log: DataFrame, path: str) -> None:
     log.where(is_write(F.col("op"))).write.mode("append").json(path)
 
 
+def single(log: DataFrame) -> DataFrame:
+    """The log with one key to a command: MSET as SETs, a DEL of several keys as several.
+    seq becomes the pair of a command's place and the key's place in it."""
+    if isinstance(log.schema["seq"].dataType, T.StructType):
+        return log
+    op, args = F.upper("op"), F.col("args")
+    mset = F.transform(F.sequence(F.lit(0), F.size(args), F.lit(2)), lambda i: F.struct((i / 2).cast("int").alias("pos"), F.lit("SET").alias("op"), F.when(i == 0, F.col("key")).otherwise(F.get(args, i - 1)).alias("key"), F.array(F.get(args, i)).alias("args")))
+    dels = F.transform(F.concat(F.array("key"), args), lambda k, i: F.struct(i.alias("pos"), F.lit("DEL").alias("op"), k.alias("key"), F.array().cast("array<string>").alias("args")))
+    same = F.array(F.struct(F.lit(0).alias("pos"), op.alias("op"), F.col("key").alias("key"), args.alias("args")))
+    each = F.when((op == "MSET") & (F.size(args) % 2 == 1), mset).when(op == "DEL", dels).when(op != "MSET", same)
+    rows = log.withColumn("args", F.coalesce(args, F.array().cast("array<string>"))).select("seq", F.explode(each).alias("c"))
+    return rows.select(F.struct("seq", "c.pos").alias("seq"), "c.op", "c.key", "c.args")
+
+
 def after_barriers(log: DataFrame) -> DataFrame:
-    """Without the commands before the last DEL of their key, and without the DELs."""
-    barrier = log.where("op = 'DEL'").groupBy("key").agg(F.max("seq").alias("barrier"))
-    return log.where("op <> 'DEL'").join(barrier, "key", "left").where("barrier is null or seq > barrier").drop("barrier")
+    """(seq, op, key, args, kind) of the commands that count: from the last DEL or SET of
+    their key on, and for the type that the first of them to create the key gives it."""
+    if "kind" in log.columns:
+        return log
+    kind = F.coalesce(*(F.when(F.col("op").isin(*ops), F.lit(k)) for k, ops in KINDS.items()))
+    log = single(log)
+    barrier = log.where("op in ('DEL', 'SET')").groupBy("key").agg(F.max("seq").alias("barrier"))
+    left = log.where("op <> 'DEL'").join(barrier, "key", "left").where("barrier is null or seq > barrier or (seq = barrier and op = 'SET')").withColumn("kind", kind).where("kind is not null")
+    first = left.where(F.col("op").isin(*CREATE)).groupBy("key").agg(F.min_by("kind", "seq").alias("kind"))
+    return left.join(first, ["key", "kind"]).select("seq", "op", "key", "args", "kind")
 
 
 def strings(log: DataFrame) -> DataFrame:
     """SET, APPEND, INCR, DECR, INCRBY and DECRBY by key: from the last SET on, numbers
     add up and texts append."""
-    mine = after_barriers(log).where("op in ('SET', 'INCR', 'DECR', 'INCRBY', 'DECRBY', 'APPEND')")
+    mine = after_barriers(log).where("kind = 'string'")
     base = mine.where("op = 'SET'").groupBy("key").agg(F.max_by(F.element_at("args", 1), "seq").alias("value"), F.max("seq").alias("since"))
     later = mine.where("op <> 'SET'").join(base.select("key", "since"), "key", "left").where("since is null or seq > since")
     step = F.when(F.col("op") == "INCR", F.lit(1)).when(F.col("op") == "DECR", F.lit(-1)).when(F.col("op") == "INCRBY", F.try_element_at("args", F.lit(1)).try_cast("bigint")).when(F.col("op") == "DECRBY", -F.try_element_at("args", F.lit(1)).try_cast("bigint"))
@@ -60,32 +101,34 @@ def strings(log: DataFrame) -> DataFrame:
 
 
 def _pairs(log: DataFrame, ops: tuple[str, ...], names: tuple[str, str]) -> DataFrame:
-    """(key, seq, name, name) of commands whose arguments are pairs; later pairs of a command win."""
-    mine = log.where(F.col("op").isin(*ops)).select("key", "seq", F.posexplode("args").alias("pos", "a"), "args")
-    return mine.where("pos % 2 = 0").select("key", (F.col("seq") * 1024 + F.col("pos")).alias("seq"), F.col("a").alias(names[0]), F.try_element_at("args", F.col("pos") + 2).alias(names[1]))
+    """(key, seq, name, name) of commands whose arguments are pairs, behind their flags; later
+    pairs of a command win."""
+    plain = F.array_position(F.transform("args", lambda x: ~F.upper(x).isin(*FLAGS)), True)
+    args = F.when(F.col("op") == "ZADD", F.slice("args", F.greatest(plain, F.lit(1)).cast("int"), F.size("args"))).otherwise(F.col("args"))
+    mine = log.where(F.col("op").isin(*ops)).withColumn("args", args).select("key", "seq", F.posexplode("args").alias("pos", "a"), "args")
+    return mine.where("pos % 2 = 0 and pos + 1 < size(args)").select("key", F.struct("seq", "pos").alias("seq"), F.col("a").alias(names[0]), F.try_element_at("args", F.col("pos") + 2).alias(names[1]))
 
 
 def _members(log: DataFrame, ops: tuple[str, ...]) -> DataFrame:
-    mine = log.where(F.col("op").isin(*ops)).select("key", (F.col("seq") * 1024).alias("seq"), F.explode("args").alias("member"))
-    return mine
+    return log.where(F.col("op").isin(*ops)).select("key", F.struct("seq", F.lit(0).alias("pos")).alias("seq"), F.explode("args").alias("member"))
 
 
 def hashes(log: DataFrame) -> DataFrame:
-    log = after_barriers(log)
+    log = after_barriers(log).where("kind = 'hash'")
     put = _pairs(log, ("HSET", "HMSET"), ("field", "value")).withColumn("live", F.lit(True))
     cut = _members(log, ("HDEL",)).select("key", "seq", F.col("member").alias("field"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("live"))
     return last_of(put.unionByName(cut), ["key", "field"], "seq").where("live").select("key", "field", "value")
 
 
 def zsets(log: DataFrame) -> DataFrame:
-    log = after_barriers(log)
-    put = _pairs(log, ("ZADD",), ("score", "member")).select("key", "seq", "member", F.col("score").try_cast("double").alias("score"), F.lit(True).alias("live"))
+    log = after_barriers(log).where("kind = 'zset'")
+    put = _pairs(log, ("ZADD",), ("score", "member")).select("key", "seq", "member", F.col("score").try_cast("double").alias("score"), F.lit(True).alias("live")).where("score is not null")
     cut = _members(log, ("ZREM",)).select("key", "seq", "member", F.lit(None).cast("double").alias("score"), F.lit(False).alias("live"))
     return last_of(put.unionByName(cut), ["key", "member"], "seq").where("live").select("key", "member", "score")
 
 
 def sets(log: DataFrame) -> DataFrame:
-    log = after_barriers(log)
+    log = after_barriers(log).where("kind = 'set'")
     put = _members(log, ("SADD",)).withColumn("live", F.lit(True))
     cut = _members(log, ("SREM",)).withColumn("live", F.lit(False))
     return last_of(put.unionByName(cut), ["key", "member"], "seq").where("live").select("key", "member")
@@ -130,46 +173,100 @@ def lists(log: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "idx", "value"])
         yield pd.DataFrame([(key, i, v) for i, v in enumerate(values)], columns=["key", "idx", "value"])
 
-    mine = after_barriers(log).where("op in ('LPUSH', 'RPUSH', 'LPOP', 'RPOP', 'LTRIM', 'LSET')").select("key", "seq", "op", "args")
+    mine = after_barriers(log).where("kind = 'list'").select("key", "seq", "op", "args")
     n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mine.repartition(n, "key").sortWithinPartitions("key", "seq").mapInPandas(run, "key string, idx bigint, value string")
+    return mine.repartition(n, "key").sortWithinPartitions("key", "seq").select("key", "op", "args").mapInPandas(run, "key string, idx bigint, value string")
+
+
+def _related(pairs: DataFrame) -> DataFrame:
+    """pairs(key, new) -> (key, root): one root for all keys that renames connect. Each
+    round takes the least root in reach and that root's own, so rounds grow with the logarithm
+    of the longest chain; each is a table in the shared folder."""
+    edges = written(pairs.union(pairs.select("new", "key")).toDF("key", "near").distinct(), "renames")
+    roots = written(edges.groupBy("key").agg(F.least(F.min("near"), F.first("key")).alias("root")), "roots")
+    while True:
+        least = edges.join(roots.withColumnRenamed("key", "near"), "near").groupBy("key").agg(F.min("root").alias("least"))
+        step = roots.join(least, "key").select("key", F.least("root", "least").alias("new"), "root")
+        jump = roots.select(F.col("key").alias("new"), F.col("root").alias("far"))
+        new = written(step.join(jump, "new", "left").select("key", F.least("new", F.coalesce("far", "new")).alias("root"), F.col("root").alias("old")), "roots")
+        if not new.where("root <> old").limit(1).count():
+            return new.select("key", "root")
+        roots = new.select("key", "root")
 
 
 def renamed(log: DataFrame) -> DataFrame:
-    """The log with every command under its key's last name. Renames are few and cross
-    keys, so they are resolved in order on the driver: for each, earlier commands of the
-    old name move to the new one and those of the new name fall away."""
-    pairs = log.where("op = 'RENAME'").orderBy("seq").select("seq", "key", F.element_at("args", 1).alias("new")).collect()
-    out = log.where("op <> 'RENAME'")
-    for seq, old, new in pairs:
-        early = F.col("seq") < seq
-        out = out.where(~(early & (F.col("key") == new))).withColumn("key", F.when(early & (F.col("key") == old), F.lit(new)).otherwise(F.col("key")))
-    return out
+    """The log with every command under its key's last name, without RENAMEs and what they
+    or DELs leave behind. Only keys that some RENAME connects are followed in order: their
+    commands are streamed by group of connected keys, and a task holds no more than the names
+    of the group that is open."""
+    log = single(log)
+    pairs = log.where("op = 'RENAME' and size(args) = 1").select("key", F.element_at("args", 1).alias("new"))
+    rest = log.where("op <> 'RENAME'")
+    if not pairs.limit(1).count():
+        return rest
+    roots = _related(pairs)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, live = None, {}  # name -> number of what it holds: where that was created
+        names = ["seq", "pos", "op", "args", "held", "key"]
+
+        def ends():
+            return [(None, None, None, None, held, key) for key, held in live.items()]
+
+        for frame in frames:
+            out = []
+            for group, seq, pos, op, key, args in frame[["root", "seq", "pos", "op", "key", "args"]].itertuples(index=False):
+                if group != root:
+                    out += ends()
+                    root, live = group, {}
+                if op == "DEL":
+                    live.pop(key, None)
+                elif op == "RENAME":
+                    if len(args) == 1 and key in live:
+                        live[args[0]] = live.pop(key)
+                else:
+                    if op == "SET" or op in CREATE and key not in live:
+                        live[key] = f"{seq}.{pos}"
+                    if key in live:
+                        out.append((seq, pos, op, list(args), live[key], None))
+            yield pd.DataFrame(out, columns=names).astype({"seq": "Int64", "pos": "Int32"})
+        yield pd.DataFrame(ends(), columns=names).astype({"seq": "Int64", "pos": "Int32"})
+
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = log.join(roots, "key").select("root", "seq.seq", "seq.pos", "op", "key", "args")
+    mine = written(mine.repartition(n, "root").sortWithinPartitions("root", "seq", "pos").mapInPandas(run, "seq bigint, pos int, op string, args array<string>, held string, key string"), "followed")
+    ends = mine.where("op is null").select("held", "key")
+    moved = mine.where("op is not null").drop("key").join(ends, "held").select(F.struct("seq", "pos").alias("seq"), "op", "key", "args")
+    return rest.join(roots.select("key"), "key", "left_anti").select("seq", "op", "key", "args").unionAll(moved)
 
 
 def replay(log: DataFrame) -> Keyspace:
-    """The keyspace after all commands of a log."""
-    log = renamed(log)
+    """The keyspace after all commands of a log. The commands that count are written once,
+    by type, and each type's fold reads its own."""
+    log = written(after_barriers(renamed(log)), "commands")
     return empty(log.sparkSession).with_(strings=strings(log), hashes=hashes(log), sets=sets(log), zsets=zsets(log), lists=lists(log))
 
 
 def compacted(ks: Keyspace) -> DataFrame:
-    """The shortest log that builds the keyspace: one command per key. Bloom filters, series
-    and JSON have no commands in a log."""
-    def log(df: DataFrame, op: str, args) -> DataFrame:
-        return df.select(F.lit(op).alias("op"), "key", args.alias("args"))
+    """The shortest log that builds the keyspace: commands of at most CHUNK items each, those
+    of a list in order. Bloom filters, series and JSON have no commands in a log."""
 
-    def grouped(df: DataFrame, items, flat) -> DataFrame:
-        return df.groupBy("key").agg(F.sort_array(F.collect_list(items)).alias("items")).withColumn("items", F.flatten(F.transform("items", flat)))
+    def grouped(df: DataFrame, op: str, item: str, flat, chunk=None) -> DataFrame:
+        if chunk is None:  # as many chunks as a key's items take
+            sizes = df.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("n"))
+            df, chunk = df.join(sizes, "key"), F.pmod(F.xxhash64(item), F.col("n"))
+        items = F.sort_array(F.collect_list(F.struct(item, *(c for c in df.columns if c not in ("key", "n", item)))))
+        rows = df.groupBy("key", chunk.cast("bigint").alias("chunk")).agg(items.alias("items"))
+        return rows.select("chunk", F.lit(op).alias("op"), "key", F.flatten(F.transform("items", flat)).alias("args"))
 
     parts = [
-        log(ks.strings, "SET", F.array("value")),
-        log(grouped(ks.lists, F.struct("idx", "value"), lambda x: F.array(x["value"])), "RPUSH", F.col("items")),
-        log(grouped(ks.sets, F.struct("member"), lambda x: F.array(x["member"])), "SADD", F.col("items")),
-        log(grouped(ks.zsets, F.struct("score", "member"), lambda x: F.array(x["score"].cast("string"), x["member"])), "ZADD", F.col("items")),
-        log(grouped(ks.hashes, F.struct("field", "value"), lambda x: F.array(x["field"], x["value"])), "HSET", F.col("items")),
+        ks.strings.select(F.lit(0).cast("bigint").alias("chunk"), F.lit("SET").alias("op"), "key", F.array("value").alias("args")),
+        grouped(ks.lists, "RPUSH", "idx", lambda x: F.array(x["value"]), F.floor(F.col("idx") / CHUNK)),
+        grouped(ks.sets, "SADD", "member", lambda x: F.array(x["member"])),
+        grouped(ks.zsets, "ZADD", "member", lambda x: F.array(x["score"].cast("string"), x["member"])),
+        grouped(ks.hashes, "HSET", "field", lambda x: F.array(x["field"], x["value"])),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.select(F.monotonically_increasing_id().alias("seq"), "op", "key", "args")
+    return out.orderBy("chunk", "key").select(F.monotonically_increasing_id().alias("seq"), "op", "key", "args")

@@ -69,16 +69,16 @@ def parse_definition(text: str) -> dict[str, FieldType]:
     return out
 
 
-def _fault(v: Column, kind: FieldType, path: str) -> Column:
-    """Null where the variant fits, else a message."""
-    s = F.schema_of_variant(v)
+def _fault(v: Column, kind: FieldType, path: str, s: Column | None = None) -> Column:
+    """Null where the variant, of schema s, fits, else a message."""
+    s = F.schema_of_variant(v) if s is None else s
     number = (s == "BIGINT") | s.startswith("DECIMAL") | (s == "DOUBLE") | (s == "FLOAT")
     d = F.try_variant_get(v, "$", "double")
     null = v.isNull() | F.is_variant_null(v)
     if kind.kind == "any":
         return F.lit(None).cast("string")
     if kind.kind == "optional":
-        return F.when(null, F.lit(None).cast("string")).otherwise(_fault(v, kind.inner, path))
+        return F.when(null, F.lit(None).cast("string")).otherwise(_fault(v, kind.inner, path, s))
     wrong = F.lit(f"{path}: expected {kind}")
     if kind.kind == "array":
         inner = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _fault(x, kind.inner, f"{path}[]")), lambda e: e.isNotNull())
@@ -87,21 +87,24 @@ def _fault(v: Column, kind: FieldType, path: str) -> Column:
     return F.when(null | ~F.coalesce(good, F.lit(False)), wrong)
 
 
-def errors(doc: Column, fields: dict[str, FieldType]) -> Column:
-    """ARRAY<STRING> of what is wrong with a document (text): empty where it fits. Missing
-    fields are wrong unless optional, unknown ones always."""
-    v = F.try_parse_json(doc)
-    names = F.json_object_keys(doc)
-    root = names.isNull()
+def validated(docs: DataFrame, column: str, fields: dict[str, FieldType]) -> DataFrame:
+    """docs with errors ARRAY<STRING>: what is wrong with a document (text), empty where it
+    fits. Missing fields are wrong unless optional, unknown ones always. A document is
+    parsed once, and each field taken and looked at once, in projections of their own."""
+    v, names = F.col("_variant"), F.col("_names")
+    parsed = docs.withColumns({"_variant": F.try_parse_json(column), "_names": F.json_object_keys(column)})
+    for k, name in enumerate(fields):
+        parsed = parsed.withColumn(f"_field{k}", F.try_variant_get(v, f"$['{name}']", "variant"))
+    for k in range(len(fields)):
+        parsed = parsed.withColumn(f"_kind{k}", F.schema_of_variant(F.col(f"_field{k}")))
     tests = []
-    for name, kind in fields.items():
-        x = F.try_variant_get(v, f"$['{name}']", "variant")
-        there = F.array_contains(names, name)
+    for k, (name, kind) in enumerate(fields.items()):
         missing = F.lit(None).cast("string") if kind.kind == "optional" else F.lit(f"{name}: missing")
-        tests.append(F.when(there, _fault(x, kind, name)).otherwise(missing))
+        tests.append(F.when(F.array_contains(names, name), _fault(F.col(f"_field{k}"), kind, name, F.col(f"_kind{k}"))).otherwise(missing))
     unknown = F.transform(F.array_except(names, F.array(*(F.lit(n) for n in fields)) if fields else F.array().cast("array<string>")), lambda n: F.concat(n, F.lit(": unknown")))
     found = F.concat(F.array(*tests) if tests else F.array().cast("array<string>"), F.sort_array(unknown))
-    return F.when(v.isNull() | root, F.array(F.lit("not an object"))).otherwise(F.filter(found, lambda e: e.isNotNull()))
+    errors = F.when(v.isNull() | names.isNull(), F.array(F.lit("not an object"))).otherwise(F.filter(found, lambda e: e.isNotNull()))
+    return parsed.select(*(F.col(f"`{c}`") for c in docs.columns), errors.alias("errors"))
 
 
 @dataclass
@@ -126,7 +129,7 @@ class Registry:
 
     def validate(self, docs: DataFrame, name: str, column: str = "doc") -> DataFrame:
         """docs with errors ARRAY<STRING>."""
-        return docs.withColumn("errors", errors(F.col(column), self.get(name)))
+        return validated(docs, column, self.get(name))
 
     def tset(self, strings: DataFrame, key: str, doc: str) -> DataFrame:
         """The strings with a typed envelope at the key, whose schema is what stands before its first colon."""

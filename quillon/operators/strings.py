@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.parsing import strict_int
-from quillon.operators.generic import asked, last_of, literal, upsert
+from quillon.operators.generic import asked, expect, last_of, literal, upsert, without
+from quillon.operators.keysview import keys_view
+from quillon.sources.keyspace import Keyspace
 
 
 def get(strings: DataFrame, key: str) -> DataFrame:
@@ -19,7 +21,7 @@ def mget(strings: DataFrame, names: list[str]) -> DataFrame:
 
 
 def mset(strings: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """SET, MSET: later pairs win."""
+    """The strings after SET, MSET: later pairs win. set_() also displaces keys of other types."""
     rows = literal(strings.sparkSession, [(k, v, i) for i, (k, v) in enumerate(pairs)], "key string, value string, pos int")
     return upsert(strings, last_of(rows, ["key"], "pos"), ["key"])
 
@@ -71,6 +73,21 @@ def setrange(value: Column, offset: int, part: str) -> Column:
     return F.overlay(padded, F.lit(part), F.lit(offset + 1))
 
 
-def getset(strings: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """(the old value, the new table)."""
-    return get(strings, key), mset(strings, [(key, value)])
+def set_(ks: Keyspace, pairs: list[tuple[str, str]]) -> Keyspace:
+    """SET, MSET on a keyspace: keys of any type are displaced, their expiry holds on."""
+    return without(ks, [k for k, _ in pairs]).with_(strings=mset(ks.strings, pairs), meta=ks.meta)
+
+
+def setex(ks: Keyspace, key: str, seconds: int, value: str, now_ms: int) -> Keyspace:
+    """SET with an expiry."""
+    if seconds < 0:
+        raise ValueError("invalid expire time")
+    due = literal(ks.meta.sparkSession, [(key, "string", now_ms + 1000 * seconds, None)], "key string, type string, expire_ms bigint, access_count bigint")
+    ks = set_(ks, [(key, value)])
+    return ks.with_(meta=upsert(ks.meta, due, ["key"]))
+
+
+def getset(ks: Keyspace, key: str, value: str) -> tuple[DataFrame, Keyspace]:
+    """(the old value, the new keyspace). A key of another type raises."""
+    expect(keys_view(ks), key, "string")
+    return get(ks.strings, key), set_(ks, [(key, value)])

@@ -20,11 +20,21 @@ def add(series: DataFrame, rows: DataFrame) -> DataFrame:
     return series.unionByName(rows.select(*series.columns))
 
 
+def madd(series: DataFrame, rows: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """TS.MADD: rows(pos, key, ts, value), texts, ts ``*`` for now -> (the series, (pos, ts_ms,
+    error)): a triplet that can't be read has an error and adds nothing, the others count."""
+    read = rows.select("pos", "key", F.when(F.col("ts") == "*", F.lit(now_ms)).otherwise(F.col("ts").try_cast("bigint")).alias("ts_ms"), F.col("value").try_cast("double").alias("value"))
+    error = F.when(F.col("ts_ms").isNull(), "invalid timestamp").when(F.col("value").isNull(), "value must be a number")
+    last = series.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last")).withColumn("one", F.lit(1))
+    good = read.where(error.isNull()).withColumn("one", F.lit(1)).join(F.broadcast(last), "one")
+    return add(series, good.select("key", "ts_ms", "value", (F.col("last") + 1 + F.col("pos")).cast("bigint").alias("seq"))), read.select("pos", F.when(error.isNull(), F.col("ts_ms")).alias("ts_ms"), error.alias("error"))
+
+
 def retained(series: DataFrame, meta: DataFrame) -> DataFrame:
     """What is left after each add dropped samples older than its own time less the
     retention: a sample stays if no later add came more than the retention after it.
     Late samples are admitted and stay until a newer add."""
-    ahead = W.partitionBy("key").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
+    ahead = W.partitionBy("key").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)  # a running maximum, from the last add back
     kept = series.join(meta.select("key", "retention_ms"), "key", "left").withColumn("ahead", F.max("ts_ms").over(ahead))
     stay = F.col("retention_ms").isNull() | (F.col("retention_ms") == 0) | F.col("ahead").isNull() | (F.col("ts_ms") >= F.col("ahead") - F.col("retention_ms"))
     return current(kept.where(stay).select(*series.columns))
@@ -36,7 +46,12 @@ def get(series: DataFrame) -> DataFrame:
 
 
 def range_(series: DataFrame, start: str | int, stop: str | int) -> DataFrame:
-    """Samples in the inclusive range; ``-`` and ``+`` are open ends. Nothing where start > stop."""
+    """Samples in the inclusive range, the last written of each time; ``-`` and ``+`` are open
+    ends. Nothing where start > stop."""
+    return current(_within(series, start, stop)).select(*series.columns)
+
+
+def _within(series: DataFrame, start: str | int, stop: str | int) -> DataFrame:
     a, b = timestamp(start), timestamp(stop)
     out = series
     if a > I64_MIN:
@@ -68,7 +83,7 @@ def bucket(ts: Column, start: int, width: int) -> Column:
 
 def aggregated(series: DataFrame, start: str | int, stop: str | int, width: int, *names: str) -> DataFrame:
     """(key, bucket_ms, a column for each aggregate) over the range; empty buckets are left
-    out. One partial aggregation, whatever the range."""
+    out. Of samples of one time the last written counts; both are partial aggregations."""
     if width <= 0:
         raise ValueError("a bucket has some width")
     a = timestamp(start)
@@ -83,7 +98,8 @@ def mrange(series: DataFrame, meta: DataFrame, start: str | int, stop: str | int
     chosen = meta
     for name, value in filters.items():
         chosen = chosen.where(F.col("labels")[name] == value)
-    return range_(series, start, stop).join(chosen.select("key", "labels"), "key")
+    mine = _within(series, start, stop).join(chosen.select("key", "labels"), "key")
+    return current(mine).select(*series.columns).join(chosen.select("key", "labels"), "key")
 
 
 def del_(series: DataFrame, key: str, start: str | int, stop: str | int) -> tuple[DataFrame, DataFrame]:

@@ -37,14 +37,14 @@ def retained(stream: DataFrame, retention_ms: int) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = state.get if state.exists else ([], [])
-        live = dict(zip(times, values, strict=True))
-        for frame in frames:
-            for _, t, v in frame.sort_values("seq")[["seq", "ts_ms", "value"]].itertuples(index=False):
-                live[int(t)] = float(v)
-                live = {k: x for k, x in live.items() if k >= t - retention_ms}
-        state.update((list(live), list(live.values())))
-        yield pd.DataFrame({"key": [key[0]], "n": [len(live)], "first_ms": [min(live)], "last_ms": [max(live)]})
+        held = pd.DataFrame(dict(zip(("ts_ms", "value"), state.get if state.exists else ([], []), strict=True))).astype({"ts_ms": "int64", "value": "float64"})
+        fresh = pd.concat(list(frames)).sort_values("seq")[["ts_ms", "value"]]
+        every = pd.concat([held, fresh], ignore_index=True)
+        # a sample stays if none that came later is more than the retention ahead of it
+        ahead = every["ts_ms"].iloc[::-1].cummax().iloc[::-1]
+        live = every[every["ts_ms"] >= ahead - retention_ms].drop_duplicates("ts_ms", keep="last")
+        state.update((live["ts_ms"].tolist(), live["value"].tolist()))
+        yield pd.DataFrame({"key": [key[0]], "n": [len(live)], "first_ms": [live["ts_ms"].min()], "last_ms": [live["ts_ms"].max()]})
 
     return stream.groupBy("key").applyInPandasWithState(step, "key string, n bigint, first_ms bigint, last_ms bigint", "times array<bigint>, values array<double>", "update", GroupStateTimeout.NoTimeout)
 

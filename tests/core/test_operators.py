@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import parsing
-from quillon.operators import generic, hashes, jsondoc, keysview, lifecycle, lists, log, schema, sets, strings, timeseries, zsets
+from quillon.operators import bloom, generic, hashes, jsondoc, keysview, lifecycle, lists, log, schema, sets, strings, timeseries, zsets
 from quillon.plans import sql
 from quillon.sources import keyspace
 
@@ -107,8 +107,15 @@ def test_strings(spark, small):
     assert spark.createDataFrame([("ab",)], "v string").select(strings.setrange(F.col("v"), 4, "x")).first()[0] == "ab\0\0x"
     assert strings.setnx(s, keysview.keys_view(small), "l", "v").count() == s.count()
     assert strings.setnx(s, keysview.keys_view(small), "fresh", "v").count() == s.count() + 1
-    old, new = strings.getset(s, "n", "7")
-    assert old.first().value == "5" and strings.get(new, "n").first().value == "7"
+    old, new = strings.getset(small, "n", "7")
+    assert old.first().value == "5" and strings.get(new.strings, "n").first().value == "7"
+    ks = strings.set_(small, [("l", "x"), ("s", "y")])
+    assert {r.key: r.type for r in keysview.keys_view(ks).collect() if r.key in ("l", "s")} == {"l": "string", "s": "string"} and ks.lists.where("key = 'l'").count() == 0
+    ks = strings.setex(small, "l", 60, "x", 1000)
+    assert ks.meta.where("key = 'l'").first().expire_ms == 61_000 and keysview.keys_view(ks, 60_999).where("key = 'l'").first().ttl == 0 and keysview.keys_view(ks, 61_000).where("key = 'l'").count() == 0
+    assert generic.ping(spark).first()[0] == "PONG" and generic.ping(spark, "hi").first()[0] == "hi"
+    with pytest.raises(generic.WrongType):
+        strings.getset(small, "l", "x")
 
 
 def by_place(df, key):
@@ -190,7 +197,8 @@ def test_json(spark):
     assert one(jsondoc.get(jsondoc.set_(d, "$.s", "1", nx=True), "s")) == '"t"' and one(jsondoc.get(jsondoc.set_(d, "$.q", "1", xx=True), "q")) is None
     assert one(jsondoc.get(jsondoc.del_(d, "a.b.0"), "a.b")) == "[2.5,null]"
     assert one(jsondoc.arrlen(jsondoc.arrappend(d, "$.a.b", "1", '"x"'), "$.a.b")) == 5 and one(jsondoc.arrlen(d, "$.s")) is None
-    assert one(jsondoc.numincrby(d, "$.a.b[0]", 1.5)) == 2.5
+    assert one(jsondoc.numincrby(d, "$.a.b[0]", 1.5)) == 2.5 and one(jsondoc.numincrby(d, "$.s", 1)) is None
+    assert one(jsondoc.get(jsondoc.incremented(d, "$.a.b[0]", 1.5), "a.b")) == "[2.5,2.5,null]" and one(jsondoc.get(jsondoc.incremented(d, "$.s", 1), "s")) == '"t"'
 
 
 def loop_retention(samples, retention):
@@ -314,6 +322,99 @@ def test_snapshots_and_logs_on_disk(spark, small, tmp_path):
     assert [r.op for r in log.read(spark, str(tmp_path / "log")).collect()] == ["SET"]
 
 
+def test_log_replay_follows_keys_through_types_and_names(spark):
+    def state(rows):
+        ks = log.replay(spark.createDataFrame(rows, log.SCHEMA))
+        out = {r.key: r.value for r in ks.strings.collect()}
+        for r in sorted(ks.lists.collect()):
+            out.setdefault(r.key, []).append(r.value)
+        for r in ks.sets.collect():
+            out.setdefault(r.key, set()).add(r.member)
+        for r in ks.hashes.collect():
+            out.setdefault(r.key, {})[r.field] = r.value
+        return out
+
+    assert state([(1, "MSET", "k1", ["1", "k2", "2"]), (2, "RPUSH", "l", ["a"]), (3, "SET", "l", ["s"]), (4, "SET", "x", ["1"]), (5, "DEL", "y", ["x"]), (6, "SADD", "l", ["no"]), (7, "mset", "k3", ["3"])]) == {"k1": "1", "k2": "2", "l": "s", "k3": "3"}
+    many = [x for i in range(1500) for x in (f"f{i}", "old")]
+    got = state([(1, "HSET", "h", many), (2, "HSET", "h", ["f1499", "new"]), (3, "HSET", "h", ["f0", "a", "f0", "b", "odd"])])["h"]
+    assert len(got) == 1500 and got["f1499"] == "new" and got["f0"] == "b" and got["f7"] == "old"
+    rows = [
+        (1, "SADD", "a", ["1"]), (2, "RENAME", "a", ["b"]), (3, "RENAME", "b", ["c"]), (4, "SADD", "a", ["2"]), (5, "SADD", "c", ["3"]),
+        (6, "RENAME", "nobody", ["a"]), (7, "SET", "d", ["x"]), (8, "RENAME", "d", ["e"]), (9, "SET", "e", ["y"]), (10, "SADD", "z", ["9"]), (11, "RENAME", "z", ["z"]),
+        (12, "SET", "p", ["p"]), (13, "SET", "q", ["q"]), (14, "RENAME", "p", ["t"]), (15, "RENAME", "q", ["p"]), (16, "RENAME", "t", ["q"]), (17, "RPUSH", "far", ["1"]),
+    ]
+    rows += [(100 + i, "RENAME", "far" if i == 0 else f"far{i}", [f"far{i + 1}"]) for i in range(20)] + [(200, "RPUSH", "far20", ["2"]), (201, "DEL", "c", [])]
+    assert state(rows) == {"a": {"2"}, "e": "y", "z": {"9"}, "p": "q", "q": "p", "far20": ["1", "2"]}
+    assert state([(1, "ZADD", "z", ["NX", "CH", "1", "m"]), (2, "LPOP", "none", []), (3, "SREM", "no", ["x"])]) == {}
+
+
+def test_compaction_writes_chunks(spark, monkeypatch):
+    monkeypatch.setattr(log, "CHUNK", 7)
+    ks = keyspace.of(spark, lists=[("l", i, f"v{i}") for i in range(40)], sets=[("s", str(i)) for i in range(30)], zsets=[("z", str(i), i / 2) for i in range(20)], hashes=[("h", str(i), "x") for i in range(25)], strings=[("k", "v")])
+    short = log.compacted(ks)
+    assert short.where("size(args) > 40").count() == 0 and short.where("op = 'RPUSH'").count() == 6 and short.select("seq").distinct().count() == short.count()
+    again = log.replay(short)
+    assert by_place(again.lists, "l") == [f"v{i}" for i in range(40)]
+    for name in ("strings", "sets", "zsets", "hashes"):
+        assert sorted(getattr(again, name).collect()) == sorted(getattr(ks, name).collect())
+
+
+def test_series_are_read_as_overwritten(spark):
+    s = spark.createDataFrame([("k", 1000, 1.0, 1), ("k", 1000, 5.0, 2), ("k", 2000, 2.0, 3)], keyspace.SCHEMAS["series"])
+    meta = spark.createDataFrame([("k", None, {"a": "b"})], keyspace.SCHEMAS["series_meta"])
+    assert sorted((r.ts_ms, r.value) for r in timeseries.range_(s, "-", "+").collect()) == [(1000, 5.0), (2000, 2.0)]
+    r = timeseries.aggregated(s, 0, "+", 10_000, "sum", "count").first()
+    assert (r["sum"], r["count"]) == (7.0, 2)
+    assert sorted((r.ts_ms, r.value) for r in timeseries.mrange(s, meta, "-", "+", {"a": "b"}).collect()) == [(1000, 5.0), (2000, 2.0)]
+    ks = keyspace.empty(spark).with_(series=s, series_meta=meta)
+    assert keysview.keys_view(ks).first().length == 2
+    rows = spark.createDataFrame([(0, "k", "1000", "7"), (1, "k", "x", "1"), (2, "n", "*", "1"), (3, "n", "5", "y")], "pos int, key string, ts string, value string")
+    new, replies = timeseries.madd(s, rows, 42)
+    assert [tuple(r) for r in replies.orderBy("pos").collect()] == [(0, 1000, None), (1, None, "invalid timestamp"), (2, 42, None), (3, None, "value must be a number")]
+    assert sorted((r.key, r.ts_ms, r.value) for r in timeseries.range_(new, "-", "+").collect()) == [("k", 1000, 7.0), ("k", 2000, 2.0), ("n", 42, 1.0)]
+
+
+def test_json_keys(spark):
+    t = spark.createDataFrame([("a", '{"x":1}'), ("bad", "{no"), ("none", None)], "key string, doc string")
+    docs = lambda df: {r.key: r.doc for r in df.collect()}
+    assert docs(jsondoc.set_key(t, "a", "$.y.z", "2"))["a"] == '{"x":1,"y":{"z":2}}' and docs(jsondoc.set_key(t, "new", "$.y", "2"))["new"] == '{"y":2}' and docs(jsondoc.set_key(t, "new", "$", "[1]"))["new"] == "[1]"
+    assert jsondoc.set_key(t, "a", "$", "1", nx=True) is t and jsondoc.set_key(t, "b", "$", "1", xx=True) is t
+    assert "a" not in docs(jsondoc.del_key(t, "a")) and docs(jsondoc.del_key(t, "a", "$.x"))["a"] == "{}"
+    assert docs(t.withColumn("doc", jsondoc.set_(F.col("doc"), "$.q", "1"))) == {"a": '{"q":1,"x":1}', "bad": "{no", "none": None}
+    assert [r[0] for r in t.select(jsondoc.get(F.col("doc"), "$..x")).collect()] == ["1", None, None]
+    with pytest.raises(ValueError):
+        jsondoc.set_key(t, "a", "$", "{no")
+
+
+def test_keyed_blooms(spark):
+    none = keyspace.empty(spark).blooms
+    bits = spark.createDataFrame([], bloom.BITS)
+    blooms = bloom.reserve(none, "small", 100, 0.01)
+    with pytest.raises(ValueError):
+        bloom.reserve(blooms, "small", 100)
+    items = spark.createDataFrame([("small", str(i)) for i in range(50)] + [("made", "x"), ("made", "x")], "key string, item string")
+    blooms, bits, replies = bloom.add(blooms, bits, items)
+    assert {r.added for r in replies.collect()} == {1} and bloom.card(blooms, "small").first().n == 50 and bloom.card(blooms, "made").first().n == 1 and bloom.card(blooms, "no").first().n == 0
+    blooms, bits, replies = bloom.add(blooms, bits, items)
+    assert {r.added for r in replies.collect()} == {0} and bloom.card(blooms, "small").first().n == 50
+    assert {r.found for r in bloom.exists(blooms, bits, items).collect()} == {1}
+    assert {(r.key, r.found) for r in bloom.exists(blooms, bits, spark.createDataFrame([("made", "1"), ("no", "x")], "key string, item string")).collect()} == {("made", 0), ("no", 0)}
+    assert {r.key for r in bloom.drop(blooms, bits, "made")[1].select("key").distinct().collect()} == {"small"}
+
+
+def test_config_source(spark, tmp_path):
+    from quillon.sources import config
+
+    assert config.load(tmp_path / "none.toml") == config.DEFAULTS
+    (tmp_path / "c.toml").write_text('[memory]\nmax_memory = "64MB"\n[server]\nport = 1\n')
+    got = config.load(tmp_path / "c.toml")
+    assert got["memory.max_memory"] == "64MB" and got["server.port"] == 1 and got["logging.level"] == "info"
+    assert {r.name: r.value for r in config.table(spark, got).collect()}["persistence.aof_enabled"] == "false"
+    (tmp_path / "c.toml").write_text("[broken")
+    with pytest.raises(ValueError):
+        config.load(tmp_path / "c.toml")
+
+
 def test_parsing():
     assert parsing.memory_size("256MB") == 256 << 20 and parsing.memory_size("1024") == 1024 and parsing.memory_size("1gb") == 1 << 30
     assert parsing.format_size(1536) == "1.50 KB" and parsing.score_bound("(5") == (5.0, True) and parsing.score_bound("(5", strict=False) == (5.0, False)
