@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.parsing import glob_filter
-from quillon.operators import bloom, hashes, jsondoc, keysview, lifecycle, lists, log, schema, sets, strings, timeseries, zsets
+from quillon.operators import bloom, generic, hashes, jsondoc, keysview, lifecycle, lists, log, schema, sets, strings, timeseries, zsets
 from quillon.plans import sql
 from quillon.sources import keyspace
 from quillon.sources.keyspace import AS_OF, Keyspace, oracle
@@ -77,6 +77,9 @@ def _renamed(ks: Keyspace) -> DataFrame:
     return rename(ks, "customer:1", "vip:1").hashes
 
 
+add("renamenx", lambda ks: (lambda r: r(r(ks, "customer:1", "customer:2", True, _keys(ks)), "customer:1", "vip:1", True, _keys(ks)).hashes)(generic.rename), "SELECT CASE WHEN key = 'customer:1' THEN 'vip:1' ELSE key END AS key, field, value FROM hashes", "hashes")
+add("ping", lambda ks: generic.ping(ks.strings.sparkSession), "SELECT 'PONG' AS reply")
+ORACLE["ping"] = ORACLE["ping"].removeprefix("WITH  ")
 add("rename", _renamed, "SELECT CASE WHEN key = 'customer:1' THEN 'vip:1' ELSE key END AS key, field, value FROM hashes", "hashes")
 
 
@@ -93,10 +96,16 @@ _MGET = ["customer:3:name", "missing", "customer:1:name", "counter:click"]
 add("get", lambda ks: strings.get(ks.strings, "customer:5:name"), "SELECT value FROM strings WHERE key = 'customer:5:name'", "strings")
 add("mget", lambda ks: strings.mget(ks.strings, _MGET), f"SELECT CAST(pos AS INTEGER) AS pos, x.key AS key, value FROM (SELECT unnest({_MGET!r}) AS key, unnest(range(4)) AS pos) x LEFT JOIN strings s ON x.key = s.key", "strings")
 add("mset", lambda ks: strings.mset(ks.strings, [("customer:1:name", "A"), ("new", "B"), ("new", "C")]), "SELECT key, value FROM strings WHERE key <> 'customer:1:name' UNION ALL SELECT 'customer:1:name', 'A' UNION ALL SELECT 'new', 'C'", "strings")
-add("setnx", lambda ks: strings.setnx(ks.strings, _keys(ks), "customer:1", "x").where("key not like 'customer:%:name'"), "SELECT key, value FROM strings WHERE key NOT LIKE 'customer:%:name'", "strings")
+add("setnx", lambda ks: strings.setnx(strings.setnx(ks.strings, _keys(ks), "customer:1", "x"), _keys(ks), "fresh", "y"), "SELECT key, value FROM strings UNION ALL SELECT 'fresh', 'y'", "strings")
+_ANY = [("customer:1", "a"), ("customer:1:orders", "b"), ("customer:2:name", "c")]
+add("set_displaces", lambda ks: _keys(strings.set_(ks, _ANY)).select("key", "type", "length"), """SELECT key, type, length FROM keys WHERE key NOT IN ('customer:1', 'customer:1:orders', 'customer:2:name')
+  UNION ALL SELECT 'customer:1', 'string', 1 UNION ALL SELECT 'customer:1:orders', 'string', 1 UNION ALL SELECT 'customer:2:name', 'string', 1""", "keys")
+add("setex", lambda ks: _keys(strings.setex(ks, "customer:1", 90, "a", AS_OF)).select("key", "type", "ttl"), "SELECT key, type, ttl FROM keys WHERE key <> 'customer:1' UNION ALL SELECT 'customer:1', 'string', 90", "keys")
+add("getset", lambda ks: strings.getset(ks, "customer:5:name", "new")[1].strings, "SELECT key, CASE WHEN key = 'customer:5:name' THEN 'new' ELSE value END AS value FROM strings", "strings")
+add("getset_old", lambda ks: strings.getset(ks, "customer:5:name", "new")[0], "SELECT value FROM strings WHERE key = 'customer:5:name'", "strings")
 add("strlen", lambda ks: strings.strlen(ks.strings), "SELECT key, CAST(strlen(value) AS INTEGER) AS n FROM strings", "strings")
 add("getrange", lambda ks: ks.strings.select("key", strings.getrange(F.col("value"), -5, -2).alias("part")), "SELECT key, CASE WHEN length(value) - 2 < greatest(0, length(value) - 5) THEN '' ELSE substr(value, greatest(0, length(value) - 5) + 1, length(value) - 2 - greatest(0, length(value) - 5) + 1) END AS part FROM strings", "strings")
-add("setrange", lambda ks: ks.strings.select("key", strings.setrange(F.col("value"), 2, "ZZ").alias("value")).where("key like 'customer:%'"), "SELECT key, substr(value, 1, 2) || 'ZZ' || substr(value, 5) AS value FROM strings WHERE key LIKE 'customer:%'", "strings")
+add("setrange", lambda ks: ks.strings.select("key", strings.setrange(F.col("value"), 2, "ZZ").alias("value")), "SELECT key, substr(value, 1, 2) || 'ZZ' || substr(value, 5) AS value FROM strings", "strings")
 
 
 def _steps(ks: Keyspace) -> DataFrame:
@@ -119,9 +128,9 @@ add("lrem", lambda ks: lists.lrem(ks.lists.withColumn("value", F.expr("cast(cast
 add("linsert", lambda ks: lists.linsert(ks.lists.withColumn("value", F.expr("cast(cast(value as bigint) % 3 as string)")), "1", "new"), """SELECT key, row_number() OVER (PARTITION BY key ORDER BY p) - 1 AS idx, value FROM (
   SELECT key, CAST(idx AS DOUBLE) AS p, CAST(CAST(value AS BIGINT) % 3 AS VARCHAR) AS value FROM lists UNION ALL SELECT key, min(idx) - 0.5, 'new' FROM lists WHERE CAST(value AS BIGINT) % 3 = 1 GROUP BY key)""", "lists")
 add("lpos", lambda ks: lists.lpos(ks.lists.withColumn("value", F.expr("cast(cast(value as bigint) % 3 as string)")), "2"), "SELECT key, min(idx) AS idx FROM lists WHERE CAST(value AS BIGINT) % 3 = 2 GROUP BY key", "lists")
-add("lset", lambda ks: lists.lset(ks.lists, "customer:1:orders", 0, "first").where("key = 'customer:1:orders'"), "SELECT key, idx, CASE WHEN idx = 0 THEN 'first' ELSE value END AS value FROM lists WHERE key = 'customer:1:orders'", "lists")
-add("lpush", lambda ks: lists.push(ks.lists, "customer:1:orders", ["a", "b"], True).where("key = 'customer:1:orders'"), "SELECT key, idx + 2 AS idx, value FROM lists WHERE key = 'customer:1:orders' UNION ALL SELECT 'customer:1:orders', 0, 'b' UNION ALL SELECT 'customer:1:orders', 1, 'a'", "lists")
-add("rpush", lambda ks: lists.push(ks.lists, "customer:1:orders", ["a", "b"], False).where("key = 'customer:1:orders'"), "SELECT key, idx, value FROM lists WHERE key = 'customer:1:orders' UNION ALL SELECT 'customer:1:orders', (SELECT count(*) FROM lists WHERE key = 'customer:1:orders') + i, x FROM (VALUES (0, 'a'), (1, 'b')) v(i, x)", "lists")
+add("lset", lambda ks: lists.lset(ks.lists, "customer:1:orders", 0, "first"), "SELECT key, idx, CASE WHEN key = 'customer:1:orders' AND idx = 0 THEN 'first' ELSE value END AS value FROM lists", "lists")
+add("lpush", lambda ks: lists.push(ks.lists, "customer:1:orders", ["a", "b"], True), "SELECT key, CASE WHEN key = 'customer:1:orders' THEN idx + 2 ELSE idx END AS idx, value FROM lists UNION ALL SELECT 'customer:1:orders', 0, 'b' UNION ALL SELECT 'customer:1:orders', 1, 'a'", "lists")
+add("rpush", lambda ks: lists.push(ks.lists, "customer:1:orders", ["a", "b"], False), "SELECT key, idx, value FROM lists UNION ALL SELECT 'customer:1:orders', (SELECT count(*) FROM lists WHERE key = 'customer:1:orders') + i, x FROM (VALUES (0, 'a'), (1, 'b')) v(i, x)", "lists")
 add("lpop", lambda ks: lists.pop(ks.lists, "customer:1:orders", 3)[0], "SELECT idx AS pos, value FROM lists WHERE key = 'customer:1:orders' AND idx < 3", "lists")
 add("rpop", lambda ks: lists.pop(ks.lists, "customer:1:orders", 3, left=False)[0], f"SELECT n - 1 - idx AS pos, value FROM {_SIZED} WHERE key = 'customer:1:orders' AND n - 1 - idx < 3", "lists")
 
@@ -135,8 +144,8 @@ add("sunion", lambda ks: sets.sunion(ks.sets, [*_USERS, "missing"]), f"SELECT DI
 add("sinter", lambda ks: sets.sinter(ks.sets, _USERS), " INTERSECT ".join(f"SELECT member FROM sets WHERE key = {k!r}" for k in _USERS), "sets")
 _APART = ["type:click:users", _SEGMENTS[0], "missing"]
 add("sdiff", lambda ks: sets.sdiff(ks.sets, _APART), " EXCEPT ".join(f"SELECT member FROM sets WHERE key = {k!r}" for k in _APART), "sets")
-add("sadd", lambda ks: sets.sadd(ks.sets, sets.rows(ks.sets, "type:click:users", ["1", "new", "new"]))[0].where("key = 'type:click:users'").select("member"), "SELECT member FROM sets WHERE key = 'type:click:users' UNION SELECT '1' UNION SELECT 'new'", "sets")
-add("srem", lambda ks: sets.srem(ks.sets, sets.rows(ks.sets, "type:click:users", ["1", "2", "none"]))[0].where("key = 'type:click:users'").select("member"), "SELECT member FROM sets WHERE key = 'type:click:users' AND member NOT IN ('1', '2')", "sets")
+add("sadd", lambda ks: sets.sadd(ks.sets, sets.rows(ks.sets, "type:click:users", ["1", "new", "new"]))[0], "SELECT key, member FROM sets UNION SELECT 'type:click:users', '1' UNION SELECT 'type:click:users', 'new'", "sets")
+add("srem", lambda ks: sets.srem(ks.sets, sets.rows(ks.sets, "type:click:users", ["1", "2", "none"]))[0], "SELECT key, member FROM sets WHERE NOT (key = 'type:click:users' AND member IN ('1', '2'))", "sets")
 
 # sorted sets
 _RANK = "(SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS rank, count(*) OVER (PARTITION BY key) AS n FROM zsets)"
@@ -155,6 +164,12 @@ add("zcard", lambda ks: zsets.zcard(ks.zsets), "SELECT key, count(*) AS n FROM z
 add("zcount", lambda ks: zsets.zcount(ks.zsets, 0, 5000), "SELECT key, count(*) FILTER (score BETWEEN 0 AND 5000) AS n FROM zsets GROUP BY key", "zsets")
 add("zincrby_fold", lambda ks: _rounded(zsets.zincrby(ks.zsets, ks.zsets.where("score < 0").select("key", "member", F.explode(F.array(F.lit(10.0), F.lit(2.5))).alias("delta"))), "score"), "SELECT key, member, round(score + 12.5, 6) AS score FROM zsets WHERE score < 0", "zsets")
 add("zadd_gt", lambda ks: zsets.zadd(ks.zsets, ks.zsets.select("key", "member", F.lit(5000.0).alias("score"), F.lit(0).alias("pos")), gt=True)[0], "SELECT key, member, greatest(score, 5000.0) AS score FROM zsets", "zsets")
+_HALF = lambda ks: ks.zsets.select("key", F.when(F.length("member") % 2 == 0, F.col("member")).otherwise(F.concat(F.lit("new:"), "member")).alias("member"), F.lit(100.0).alias("score"), F.lit(0).alias("pos"))
+_FRESH = "SELECT key, 'new:' || member AS member, CAST(100 AS DOUBLE) AS score FROM zsets WHERE length(member) % 2 = 1"
+add("zadd_nx", lambda ks: zsets.zadd(ks.zsets, _HALF(ks), nx=True)[0], f"SELECT key, member, score FROM zsets UNION ALL {_FRESH}", "zsets")
+add("zadd_xx", lambda ks: zsets.zadd(ks.zsets, _HALF(ks), xx=True)[0], "SELECT key, member, CASE WHEN length(member) % 2 = 0 THEN 100 ELSE score END AS score FROM zsets", "zsets")
+add("zadd_lt", lambda ks: zsets.zadd(ks.zsets, _HALF(ks), lt=True)[0], f"SELECT key, member, CASE WHEN length(member) % 2 = 0 THEN least(score, 100) ELSE score END AS score FROM zsets UNION ALL {_FRESH}", "zsets")
+add("zadd_ch", lambda ks: zsets.zadd(ks.zsets, _HALF(ks), ch=True)[1], "SELECT key, count(*) AS n FROM zsets GROUP BY key", "zsets")
 add("zadd_reply", lambda ks: zsets.zadd(ks.zsets, ks.zsets.select("key", "member", F.lit(5000.0).alias("score"), F.lit(0).alias("pos")), gt=True)[1], "SELECT key, CAST(count(*) FILTER (score < 5000) AS BIGINT) AS n FROM zsets GROUP BY key", "zsets")
 add("zrem", lambda ks: zsets.zrem(ks.zsets, ks.zsets.where("score > 0")), "SELECT key, member, score FROM zsets WHERE NOT score > 0", "zsets")
 add("zremrangebyrank", lambda ks: zsets.zremrangebyrank(ks.zsets, 3, -4), f"SELECT key, member, score FROM {_RANK} WHERE NOT rank BETWEEN 3 AND n - 4", "zsets")
@@ -188,6 +203,9 @@ add("json_arrlen", lambda ks: ks.json.select("key", jsondoc.arrlen(F.col("doc"),
 add("json_objkeys", lambda ks: ks.json.select("key", F.array_join(jsondoc.objkeys(F.col("doc")), ",").alias("fields")), "SELECT key, 'props,tags,type,user' AS fields FROM json", "json")
 add("json_objlen", lambda ks: ks.json.select("key", jsondoc.objlen(F.col("doc"), "$.props").alias("n")), "SELECT key, CAST(len(json_keys(doc, '$.props')) AS INTEGER) AS n FROM json", "json")
 add("json_numincrby", lambda ks: ks.json.select("key", jsondoc.numincrby(F.col("doc"), "$.user", 1.5).alias("value")), "SELECT key, CAST(json_extract_string(doc, '$.user') AS DOUBLE) + 1.5 AS value FROM json", "json")
+add("json_incremented", lambda ks: ks.json.select("key", jsondoc.get(jsondoc.incremented(F.col("doc"), "$.user", 1.5), "$.user").cast("double").alias("value"), F.array_join(jsondoc.objkeys(jsondoc.incremented(F.col("doc"), "$.type", 1)), ",").alias("fields")), "SELECT key, CAST(json_extract_string(doc, '$.user') AS DOUBLE) + 1.5 AS value, 'props,tags,type,user' AS fields FROM json", "json")
+add("json_set_key", lambda ks: jsondoc.set_key(jsondoc.set_key(ks.json, "event:1", "$", "[1]"), "new", "$.a", "2"), """SELECT key, CASE WHEN key = 'event:1' THEN '[1]' ELSE doc END AS doc FROM json UNION ALL SELECT 'new', '{"a":2}'""", "json")
+add("json_del_key", lambda ks: jsondoc.del_key(ks.json, "event:1").select("key"), "SELECT key FROM json WHERE key <> 'event:1'", "json")
 add("json_set", lambda ks: ks.json.select("key", jsondoc.get(jsondoc.set_(F.col("doc"), "$.props.z", "[1,2]"), "$.props.z").alias("z")), "SELECT key, '[1,2]' AS z FROM json", "json")
 add("json_del", lambda ks: ks.json.select("key", F.array_join(jsondoc.objkeys(jsondoc.del_(F.col("doc"), "$.tags")), ",").alias("fields")), "SELECT key, 'props,type,user' AS fields FROM json", "json")
 add("json_arrappend", lambda ks: ks.json.select("key", jsondoc.arrlen(jsondoc.arrappend(F.col("doc"), "$.tags", '"x"', "1"), "$.tags").alias("n")), "SELECT key, CAST(4 AS INTEGER) AS n FROM json", "json")
@@ -215,6 +233,29 @@ add("ts_get", lambda ks: timeseries.get(ks.series), "SELECT key, max(ts_ms) AS t
 add("ts_mrange", lambda ks: timeseries.mrange(ks.series, ks.series_meta, "-", "+", {"parity": "even"}).select("key", "ts_ms", "value"), "SELECT s.key AS key, ts_ms, value FROM series s JOIN series_meta m ON s.key = m.key WHERE parity = 'even'", "series", "series_meta")
 
 
+def _overwritten(ks: Keyspace) -> DataFrame:
+    """The samples, every third of which is written again with a value larger by one."""
+    again = ks.series.where("seq % 3 = 0").select("key", "ts_ms", (F.col("value") + 1).alias("value"), (F.col("seq") + 1_000_000_000).alias("seq"))
+    return timeseries.add(ks.series, again)
+
+
+_AGAIN = "(SELECT key, ts_ms, value + CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END AS value FROM series)"
+add("ts_range_overwritten", lambda ks: _rounded(timeseries.range_(_overwritten(ks), _FROM, "+").select("key", "ts_ms", "value"), "value"), f"SELECT key, ts_ms, round(value, 6) AS value FROM {_AGAIN} WHERE ts_ms >= {_FROM}", "series")
+add("ts_agg_overwritten", lambda ks: _rounded(timeseries.aggregated(_overwritten(ks), _FROM, "+", _DAY, "sum", "count", "last"), "sum", "last"), f"SELECT key, {_BUCKET} AS bucket_ms, round(sum(value), 6) AS sum, count(value) AS count, round(arg_max(value, ts_ms), 6) AS last FROM {_AGAIN} WHERE ts_ms >= {_FROM} GROUP BY key, 2", "series")
+add("ts_mrange_overwritten", lambda ks: _rounded(timeseries.mrange(_overwritten(ks), ks.series_meta, "-", "+", {"parity": "even"}).select("key", "ts_ms", "value"), "value"), f"SELECT s.key AS key, ts_ms, round(value, 6) AS value FROM {_AGAIN} s JOIN series_meta m ON s.key = m.key WHERE parity = 'even'", "series", "series_meta")
+add("keys_overwritten", lambda ks: _keys(ks.with_(series=_overwritten(ks))).select("key", "length", "memory"), "SELECT key, length, memory FROM keys", "keys")
+add("ts_create", lambda ks: timeseries.create(ks.series_meta, "new", 1000, {"a": "b"}).select("key", F.coalesce("retention_ms", F.lit(0)).alias("retention_ms"), F.size("labels").alias("n_labels")), "SELECT key, CAST(0 AS BIGINT) AS retention_ms, 2 AS n_labels FROM series_meta UNION ALL SELECT 'new', 1000, 1", "series_meta")
+
+
+def _madd(ks: Keyspace) -> tuple[DataFrame, DataFrame]:
+    rows = ks.series.select((F.col("seq") % 100_000).cast("int").alias("pos"), "key", F.when(F.col("seq") % 5 == 0, "x").otherwise(F.col("ts_ms").cast("string")).alias("ts"), F.when(F.col("seq") % 7 == 0, "y").otherwise(F.col("seq").cast("string")).alias("value"))
+    return timeseries.madd(ks.series.where("seq < 0"), rows, 0)
+
+
+add("ts_madd", lambda ks: timeseries.range_(_madd(ks)[0], "-", "+").select("key", "ts_ms", "value"), "SELECT key, ts_ms, CAST(seq AS DOUBLE) AS value FROM series WHERE seq % 5 <> 0 AND seq % 7 <> 0", "series")
+add("ts_madd_replies", lambda ks: _madd(ks)[1].groupBy("error").agg(F.count("*").alias("n")), "SELECT CASE WHEN seq % 5 = 0 THEN 'invalid timestamp' WHEN seq % 7 = 0 THEN 'value must be a number' END AS error, count(*) AS n FROM series GROUP BY 1", "series")
+
+
 def _shuffled(ks: Keyspace) -> DataFrame:
     """The samples as if they had come in another order."""
     return ks.series.withColumn("seq", F.col("seq") * 7919 % 100_003)
@@ -239,8 +280,31 @@ add("bf_info", lambda ks: bloom.info(ks.blooms), "SELECT 'seen:purchase' AS key,
 ORACLE["bf_info"] = ORACLE["bf_info"].removeprefix("WITH  ")
 _BOUGHT = "key = 'type:purchase:users'"
 add("bf_members", lambda ks: bloom.probe(bloom.build(ks.sets.where(_BOUGHT), "member"), ks.sets.where(_BOUGHT), "member"), f"SELECT member AS item, CAST(1 AS INTEGER) AS found FROM sets WHERE {_BOUGHT}", "sets")
-add("bf_exists", lambda ks: bloom.probe(bloom.build(ks.sets.where(_BOUGHT), "member", 10_000), ks.sets.where("key = 'type:view:users'"), "member", 10_000), None)
-add("bf_card", lambda ks: ks.sets.where(_BOUGHT).agg(F.countDistinct("member").alias("n")), f"SELECT count(DISTINCT member) AS n FROM sets WHERE {_BOUGHT}", "sets")
+add(
+    "bf_exists",  # nothing that was added is missed; bf_false_positives bounds the others
+    lambda ks: bloom.probe(bloom.build(ks.sets.where(_BOUGHT), "member", 10_000), ks.sets, "member", 10_000).join(ks.sets.where(_BOUGHT).select(F.col("member").alias("item"), F.lit(1).alias("added")), "item", "left").agg(F.count_if(F.expr("found = 0 and added = 1")).alias("missed")),
+    "SELECT CAST(0 AS BIGINT) AS missed",
+)
+ORACLE["bf_exists"] = ORACLE["bf_exists"].removeprefix("WITH  ")
+add(
+    "bf_false_positives",
+    lambda ks: bloom.probe(bloom.build(ks.sets.where(_BOUGHT), "member", 20_000, 0.01), ks.strings.select(F.concat(F.lit("x"), "value").alias("v")), "v", 20_000, 0.01).agg((F.count_if(F.expr("found = 1")) <= 0.03 * F.count("*")).alias("few"), F.count("*").alias("n")),
+    "SELECT true AS few, count(DISTINCT value) AS n FROM strings",
+    "strings",
+)
+def _added(ks: Keyspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every set's members in a filter of its own, roomy enough to tell them apart."""
+    none = ks.blooms.where("key = ''")
+    blooms = none.unionByName(ks.sets.select("key").distinct().select("key", F.lit(1 << 40).cast("bigint").alias("capacity"), F.lit(1e-4).alias("fpr"), F.lit(0).cast("bigint").alias("items_added")))
+    items = ks.sets.select("key", F.col("member").alias("item"))
+    return bloom.add(blooms, ks.sets.sparkSession.createDataFrame([], bloom.BITS), items)
+
+
+add("bf_add", lambda ks: _added(ks)[2], "SELECT key, member AS item, 1 AS added FROM sets", "sets")
+add("bf_add_again", lambda ks: (lambda b: bloom.add(b[0], b[1], ks.sets.select("key", F.col("member").alias("item")))[2])(_added(ks)), "SELECT key, member AS item, 0 AS added FROM sets", "sets")
+add("bf_card", lambda ks: _added(ks)[0].select("key", "items_added"), "SELECT key, count(*) AS items_added FROM sets GROUP BY key", "sets")
+add("bf_reserve", lambda ks: bloom.reserve(ks.blooms, "more", 500, 0.02).select("key", "capacity", "fpr"), "SELECT 'seen:purchase' AS key, CAST(1000000 AS BIGINT) AS capacity, CAST(0.01 AS DOUBLE) AS fpr UNION ALL SELECT 'more', 500, 0.02")
+ORACLE["bf_reserve"] = ORACLE["bf_reserve"].removeprefix("WITH  ")
 
 # schemas
 _USER = {"user": "integer", "type": "string", "tags": "array<string>", "props": "any", "note": "string?"}
@@ -261,14 +325,23 @@ add("schema_validate_wrong", _validated(_WRONG), "SELECT key, 'user: expected st
 
 
 
+_EVENT = '{"user":7,"type":"t","tags":["a"],"props":{}}'
+
+
+def _defined() -> schema.Registry:
+    registry = schema.Registry()
+    registry.define("event", str(_USER).replace("'", '"'))
+    return registry
+
+
 def _typed(ks: Keyspace) -> DataFrame:
     """Strings that are typed envelopes, beside plain ones."""
     typed = ks.json.select("key", F.concat(F.lit('{"schema_name":"event","data":'), F.col("doc"), F.lit("}")).alias("value"))
     return typed.unionByName(ks.strings)
 
 
-add("tget_field", lambda ks: schema.tget(_typed(ks), "user").where("key like 'event:%'"), "SELECT key, json_extract_string(doc, '$.user') AS value FROM json", "json")
-add("tget_plain", lambda ks: schema.tget(_typed(ks)).where("key not like 'event:%'"), "SELECT key, value FROM strings", "strings")
+add("tget_field", lambda ks: schema.tget(_typed(ks), "user"), "SELECT key, json_extract_string(doc, '$.user') AS value FROM json UNION ALL SELECT key, value FROM strings", "json", "strings")
+add("tset", lambda ks: _defined().tset(_typed(ks), "event:new", _EVENT), """SELECT key, '{"schema_name":"event","data":' || doc || '}' AS value FROM json UNION ALL SELECT key, value FROM strings UNION ALL SELECT 'event:new', '{"data":{"props":{},"tags":["a"],"type":"t","user":7},"schema_name":"event"}'""", "json", "strings")
 add("tkeys", lambda ks: schema.tkeys(_typed(ks), "event:1"), "SELECT key FROM json WHERE starts_with(key, 'event:1')", "json")
 
 # lifecycle
@@ -322,37 +395,85 @@ _with_log("metrics", lifecycle.metrics, "SELECT 'keys_total' AS name, type AS la
 add("ns_stats", lambda ks: lifecycle.namespace_stats(_keys(ks)), "SELECT split_part(key, ':', 1) AS ns, count(*) AS n_keys, CAST(sum(memory) AS BIGINT) AS memory FROM keys GROUP BY 1", "keys")
 
 
-def _log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as commands: the op by user and event, the key by user."""
-    e = keyspace.source(spark, sf_dir, "events")
-    op = F.element_at(F.array(*(F.lit(x) for x in ("SET", "APPEND", "SADD", "SREM", "HSET", "ZADD", "RPUSH", "LPUSH", "LPOP", "LTRIM"))), (F.col("event_id") % 10 + 1).cast("int"))
-    op = F.when(F.col("event_id") % 97 == 0, "DEL").otherwise(op)
-    v = F.col("event_id").cast("string")
-    m = (F.col("event_id") % 7).cast("string")
-    args = F.when(op.isin("HSET"), F.array(m, v)).when(op == "ZADD", F.array(v, m)).when(op.isin("SADD", "SREM"), F.array(m)).when(op == "LPOP", F.array(F.lit("1"))).when(op == "LTRIM", F.array(F.lit("0"), F.lit("4"))).otherwise(F.array(v))
-    return e.select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("key"), args.alias("args"))
-
-
-_LOG_SQL = """WITH raw AS (SELECT event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'DEL' ELSE ['SET','APPEND','SADD','SREM','HSET','ZADD','RPUSH','LPUSH','LPOP','LTRIM'][event_id % 10 + 1] END AS op,
-  'u' || user_id % 50 AS key, CAST(event_id AS VARCHAR) AS v, CAST(event_id % 7 AS VARCHAR) AS m FROM events),
-log AS (SELECT * FROM raw r WHERE op <> 'DEL' AND seq > coalesce((SELECT max(seq) FROM raw d WHERE d.op = 'DEL' AND d.key = r.key), -1)) """
+_OPS = ("SET", "APPEND", "SADD", "SREM", "HSET", "ZADD", "RPUSH", "LPUSH", "LPOP", "LTRIM")
+_TYPES = ("str", "str", "set", "set", "hash", "zset", "list", "list", "list", "list")
 
 
-def _fold(name: str, build: Callable[[DataFrame], DataFrame], query: str | None) -> None:
+def _log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commands: the op by event, the key by user and op; every seventh key takes ops
+    of all types. Now and then a DEL of two keys, an MSET of two, a RENAME or a GET."""
+    e = keyspace.source(spark, sf_dir, "events").select(F.col("event_id").alias("e"), (F.col("user_id") % 50).alias("u"))
+    one = (F.col("e") % 10 + 1).cast("int")
+    op = F.when(F.col("e") % 97 == 0, "DEL").when(F.col("e") % 89 == 0, "MSET").when(F.col("e") % 101 == 0, "RENAME").when(F.col("e") % 103 == 0, "GET").otherwise(F.element_at(F.array(*map(F.lit, _OPS)), one))
+    e = e.withColumns({"op": op, "kind": F.element_at(F.array(*map(F.lit, _TYPES)), one), "v": F.col("e").cast("string"), "m": (F.col("e") % 7).cast("string")})
+    user = F.concat(F.lit("u"), F.col("u").cast("string"))
+    after = F.concat(F.lit("u"), ((F.col("u") + 1) % 50).cast("string"), F.lit(":str"))
+    key = (
+        F.when(F.col("op") == "DEL", F.concat(user, F.lit(":list"))).when(F.col("op") == "MSET", F.concat(user, F.lit(":str")))
+        .when((F.col("op") != "RENAME") & (F.col("e") % 7 == 0), user).otherwise(F.concat(user, F.lit(":"), "kind"))
+    )
+    none = F.array().cast("array<string>")
+    args = (
+        F.when(F.col("op") == "DEL", F.array(F.concat(user, F.lit(":set")))).when(F.col("op") == "MSET", F.array(F.col("v"), after, F.col("v"))).when(F.col("op") == "RENAME", F.array(F.concat(F.lit("r"), "v")))
+        .when(F.col("op") == "HSET", F.array("m", "v")).when(F.col("op") == "ZADD", F.array("v", "m")).when(F.col("op").isin("SADD", "SREM"), F.array("m"))
+        .when(F.col("op") == "LPOP", F.array(F.lit("1"))).when(F.col("op") == "LTRIM", F.array(F.lit("0"), F.lit("4"))).when(F.col("op") == "GET", none).otherwise(F.array("v"))
+    )
+    return e.select(F.col("e").alias("seq"), "op", key.alias("key"), args.alias("args"))
+
+
+_LOG_SQL = f"""WITH RECURSIVE given AS (SELECT event_id AS e, user_id % 50 AS u, {list(_TYPES)!r}[event_id % 10 + 1] AS t, CAST(event_id AS VARCHAR) AS v, CAST(event_id % 7 AS VARCHAR) AS m,
+  CASE WHEN event_id % 97 = 0 THEN 'DEL' WHEN event_id % 89 = 0 THEN 'MSET' WHEN event_id % 101 = 0 THEN 'RENAME' WHEN event_id % 103 = 0 THEN 'GET' ELSE {list(_OPS)!r}[event_id % 10 + 1] END AS op FROM events),
+raw AS (SELECT e AS seq, CASE op WHEN 'MSET' THEN 'SET' ELSE op END AS op, v, m,
+    CASE WHEN op = 'DEL' THEN 'u' || u || ':list' WHEN op = 'MSET' THEN 'u' || u || ':str' WHEN op <> 'RENAME' AND e % 7 = 0 THEN 'u' || u ELSE 'u' || u || ':' || t END AS key FROM given
+  UNION ALL SELECT e, 'DEL', v, m, 'u' || u || ':set' FROM given WHERE op = 'DEL' UNION ALL SELECT e, 'SET', v, m, 'u' || (u + 1) % 50 || ':str' FROM given WHERE op = 'MSET'),
+timed AS (SELECT *, min(CASE WHEN op IN ('DEL', 'RENAME') THEN seq END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM raw),
+ends AS (SELECT seq AS stop, key, op AS how FROM raw WHERE op IN ('DEL', 'RENAME')),
+named AS (SELECT seq, op, v, m, CASE how WHEN 'RENAME' THEN 'r' || stop ELSE key END AS key,
+  CASE WHEN op IN ('SET', 'APPEND') THEN 'string' WHEN op IN ('SADD', 'SREM') THEN 'set' WHEN op = 'HSET' THEN 'hash' WHEN op = 'ZADD' THEN 'zset' ELSE 'list' END AS kind
+  FROM timed LEFT JOIN ends USING (key, stop) WHERE op NOT IN ('DEL', 'RENAME', 'GET') AND coalesce(how, '') <> 'DEL'),
+alive AS (SELECT * FROM (SELECT *, max(CASE WHEN op = 'SET' THEN seq END) OVER (PARTITION BY key) AS since FROM named) WHERE since IS NULL OR seq >= since),
+kinds AS (SELECT key, arg_min(kind, seq) AS kind FROM alive WHERE op NOT IN ('SREM', 'LPOP', 'LTRIM') GROUP BY key),
+log AS (SELECT alive.* FROM alive JOIN kinds USING (key, kind)),
+strings AS (SELECT key, string_agg(v, '' ORDER BY seq) AS value FROM log WHERE kind = 'string' GROUP BY key),
+sets AS (SELECT key, m AS member FROM log WHERE kind = 'set' GROUP BY key, m HAVING arg_max(op, seq) = 'SADD'),
+hashes AS (SELECT key, m AS field, arg_max(v, seq) AS value FROM log WHERE kind = 'hash' GROUP BY key, m),
+zsets AS (SELECT key, m AS member, CAST(arg_max(v, seq) AS DOUBLE) AS score FROM log WHERE kind = 'zset' GROUP BY key, m),
+steps AS (SELECT key, op, v, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM log WHERE kind = 'list'),
+folded AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS l FROM (SELECT DISTINCT key FROM steps)
+  UNION ALL SELECT f.key, f.n + 1, CASE s.op WHEN 'RPUSH' THEN list_append(l, s.v) WHEN 'LPUSH' THEN list_prepend(s.v, l) WHEN 'LPOP' THEN l[2:] ELSE l[1:5] END FROM folded f JOIN steps s ON s.key = f.key AND s.n = f.n + 1),
+lists AS (SELECT key, unnest(range(len(l))) AS idx, unnest(l) AS value FROM (SELECT key, arg_max(l, n) AS l FROM folded GROUP BY key)) """
+
+
+def _fold(name: str, build: Callable[[DataFrame], DataFrame], query: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(_log_rows(spark, sf_dir))
-    if query:
-        ORACLE[name] = _LOG_SQL + query
-
-
-_fold("aof_fold_sets", log.sets, "SELECT key, m AS member FROM log WHERE op IN ('SADD', 'SREM') GROUP BY key, m HAVING arg_max(op, seq) = 'SADD'")
-_fold("aof_fold_hashes", log.hashes, "SELECT key, m AS field, arg_max(v, seq) AS value FROM log WHERE op = 'HSET' GROUP BY key, m")
-_fold("aof_fold_zsets", log.zsets, "SELECT key, m AS member, CAST(arg_max(v, seq) AS DOUBLE) AS score FROM log WHERE op = 'ZADD' GROUP BY key, m")
-_fold("aof_fold_strings", log.strings, """, base AS (SELECT key, max(seq) AS s, arg_max(v, seq) AS value FROM log WHERE op = 'SET' GROUP BY key),
-tail AS (SELECT l.key AS key, string_agg(v, '' ORDER BY seq) AS t FROM log l LEFT JOIN base b ON l.key = b.key WHERE op = 'APPEND' AND (s IS NULL OR seq > s) GROUP BY l.key)
-SELECT coalesce(b.key, t.key) AS key, coalesce(value, '') || coalesce(t, '') AS value FROM base b FULL JOIN tail t ON b.key = t.key""")
-ORACLE["aof_fold_strings"] = ORACLE["aof_fold_strings"].replace(") , base AS", "), base AS")
-_fold("aof_fold_lists", log.lists, None)
-_fold("aof_write_filter", lambda df: df.where(log.is_write(F.col("op"))).groupBy("op").agg(F.count("*").alias("n")), "SELECT op, count(*) AS n FROM raw GROUP BY op")
+    ORACLE[name] = _LOG_SQL + query
+
+
+def _flat(ks: Keyspace) -> DataFrame:
+    """(type, key, item, value) of a replayed keyspace."""
+    parts = [
+        ks.strings.select(F.lit("string").alias("type"), "key", F.lit("").alias("item"), "value"),
+        ks.lists.select(F.lit("list"), "key", F.col("idx").cast("string"), "value"),
+        ks.sets.select(F.lit("set"), "key", "member", F.lit("")),
+        ks.hashes.select(F.lit("hash"), "key", "field", "value"),
+        ks.zsets.select(F.lit("zset"), "key", "member", F.col("score").cast("bigint").cast("string")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+_FLAT = """SELECT 'string' AS type, key, '' AS item, value FROM strings UNION ALL SELECT 'list', key, CAST(idx AS VARCHAR), value FROM lists UNION ALL SELECT 'set', key, member, '' FROM sets
+  UNION ALL SELECT 'hash', key, field, value FROM hashes UNION ALL SELECT 'zset', key, member, CAST(CAST(score AS BIGINT) AS VARCHAR) FROM zsets"""
+_fold("aof_fold_sets", lambda df: log.sets(log.renamed(df)), "SELECT key, member FROM sets")
+_fold("aof_fold_hashes", lambda df: log.hashes(log.renamed(df)), "SELECT key, field, value FROM hashes")
+_fold("aof_fold_zsets", lambda df: log.zsets(log.renamed(df)), "SELECT key, member, score FROM zsets")
+_fold("aof_fold_strings", lambda df: log.strings(log.renamed(df)), "SELECT key, value FROM strings")
+_fold("aof_fold_lists", lambda df: log.lists(log.renamed(df)), "SELECT key, idx, value FROM lists")
+_fold("aof_replay", lambda df: _flat(log.replay(df)), _FLAT)
+_fold("aof_compaction", lambda df: _flat(log.replay(log.compacted(log.replay(df)))), _FLAT)
+_fold("aof_write_filter", lambda df: df.where(log.is_write(F.col("op"))).groupBy("op").agg(F.count("*").alias("n")), "SELECT op, count(*) AS n FROM given WHERE op <> 'GET' GROUP BY op")
 
 
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,20 +43,3 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     bits = bloom.build(members, "x", 1000, 0.01)
     assert bloom.probe(bits, members, "x", 1000, 0.01).where("found = 0").count() == 0
     assert bloom.probe(bits, others, "x", 1000, 0.01).where("found = 1").count() < 150
-
-
-def test_list_fold_matches_a_plain_replay(spark):
-    from quillon.operators import log
-    from quillon.plans.queries import _log_rows
-
-    df = _log_rows(spark, DATA)
-    want = {}
-    for r in sorted(df.collect(), key=lambda r: r.seq):
-        if r.op == "DEL":
-            want.pop(r.key, None)
-        elif r.op in ("LPUSH", "RPUSH", "LPOP", "LTRIM"):
-            want[r.key] = log.fold_list(want.get(r.key, []), r.op, list(r.args))
-    got = {}
-    for r in sorted(log.lists(df).collect()):
-        got.setdefault(r.key, []).append(r.value)
-    assert got == {k: v for k, v in want.items() if v}
