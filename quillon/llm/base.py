@@ -4,54 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import drop, place, shared, written
+
+__all__ = ["BATCH", "HEAVY", "drop", "lean", "mapped", "parts", "place", "release", "released", "shared", "spread", "table", "tune", "written"]
 #: Bytes that cross to Python at once (a single longer row crosses whole).
 BATCH = 4 << 20
 #: Keys of more than this share of the rows are joined by broadcast.
 HEAVY = 4096
-_own: dict[str, str] = {}
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that
-    is unset (local tests), a temporary folder of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return _own[app]
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor costs
-    only the tasks that ran on it."""
-    spark = df.sparkSession
-    path = place(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files behind a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tune(spark: SparkSession) -> None:
@@ -83,7 +48,10 @@ def spread(rows: DataFrame, classes: DataFrame, keys: list[str], by: str, size:
     few = classes.where(heavy).select(*keys, F.struct(*rest).alias("_few"))
     many = classes.where(~heavy).select(*keys, F.struct(*rest).alias("_many"), F.lit(0).cast("long").alias("_salt"))
     rows = rows.join(F.broadcast(few), keys, "left")
-    rows = rows.withColumn("_salt", F.when(F.col("_few").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(by), F.lit(HEAVY))).cast("long"))
+    lone = F.col("_few").isNull()
+    for key in keys:  # null finds nothing, but would all go one way
+        lone = lone & F.col(key).isNotNull()
+    rows = rows.withColumn("_salt", F.when(lone, 0).otherwise(1 + F.pmod(F.xxhash64(by), F.lit(HEAVY))).cast("long"))
     rows = rows.join(many, [*keys, "_salt"], "left").withColumn("_one", F.coalesce("_few", "_many"))
     return rows.select("*", *(F.col(f"_one.{c}").alias(c) for c in rest)).drop("_few", "_many", "_one", "_salt")
 

@@ -128,14 +128,15 @@ class Index:
         self.keys, firsts = np.unique(flat[order], return_index=True)
         self.firsts = np.append(firsts, len(flat))
         self.owner = owner[order]
+        # all lists in one order, so that one bisection finds a set in any of them
+        self.places = np.repeat(np.arange(len(self.keys)), np.diff(self.firsts)) * max(1, len(sets)) + self.owner
 
     def search(self, elements: np.ndarray, needed: int, wanted: Callable[[int], bool] = lambda _: True) -> list[tuple[int, int]]:
         """(set, occurrences) of the wanted sets on at least ``needed`` of the elements' lists.
 
         Of the lists, the longest are left out of the merge: needed - 1 of them could be,
         as a set on these alone is on too few; with a twentieth less, what the merge
-        finds is on several of the others. A set is looked for in the long lists by
-        bisection: their elements, in the set's own order.
+        finds is on several of the others. The long lists are probed for it by bisection.
         """
         at = np.searchsorted(self.keys, elements)
         inside = at < len(self.keys)
@@ -145,12 +146,12 @@ class Index:
             return []
         at = at[np.argsort(self.firsts[at + 1] - self.firsts[at], kind="stable")]
         n_long = max(0, needed - 1 - needed // 20)
-        short, long = at[: len(at) - n_long], np.sort(self.keys[at[len(at) - n_long :]])
+        short, long = at[: len(at) - n_long], np.sort(at[len(at) - n_long :]) * len(self.sets)
 
         def probe(number: int) -> int:
-            own = self.sets[number]
-            k = np.searchsorted(own, long)
-            return int(np.count_nonzero(own[np.minimum(k, len(own) - 1)] == long))
+            goal = long + number
+            k = np.searchsorted(self.places, goal)
+            return int(np.count_nonzero(self.places[np.minimum(k, len(self.places) - 1)] == goal))
 
         lists = [self.owner[self.firsts[i] : self.firsts[i + 1]].tolist() for i in short]
         return divide_skip(lists, needed, n_long, probe, wanted)
@@ -243,8 +244,9 @@ def _describe(width: int):
     return run
 
 
-#: Elements that a task collects before it packs them.
-PACK = 1 << 20
+#: Elements that a task collects before it packs them, and of a range that a task counts at
+#: once (some 50 bytes each).
+PACK, RANGE = 1 << 20, 1 << 22
 
 
 def _starts(ranges: int, bits: int) -> np.ndarray:
@@ -257,13 +259,13 @@ def pack(elements: np.ndarray, owner: np.ndarray, ranges: int, bits: int) -> Ite
     order = np.argsort(elements, kind="stable")
     top, owner = elements[order] >> np.uint64(64 - bits), owner[order]
     starts = _starts(ranges, bits)
-    cut = np.append(np.searchsorted(top, starts), len(top))
-    for i in range(ranges):
-        a, e = cut[i], cut[i + 1]
-        if a < e:
-            step = np.diff(top[a:e], prepend=starts[i])
-            size = max(1, -(-int(step.max()).bit_length() // 8))
-            yield i, owner[a:e].tobytes(), step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    number = np.searchsorted(starts, top, side="right") - 1
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(top)])
+    for a, e in zip(first.tolist(), [*first[1:].tolist(), len(top)], strict=True):
+        i = int(number[a])
+        step = np.diff(top[a:e], prepend=starts[i])
+        size = max(1, -(-int(step.max()).bit_length() // 8))
+        yield i, owner[a:e].tobytes(), step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
 def unpack(number: int, ranges: int, bits: int, owners: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +301,7 @@ def _ranges(width: int, ranges: int, bits: int):
                     if len(s) and key not in sets:
                         sets[key] = s
                         held += len(s)
-                        if held >= PACK or len(sets) == 1 << 16:
+                        if held >= max(PACK, 4 * ranges) or len(sets) == 1 << 16:
                             yield from flush()
                             held = 0
         if sets:
@@ -473,10 +475,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, at_least: float = 0.8, piec
     ratio = Fraction(at_least).limit_denominator(10_000)
     docs = base.lean(docs, "doc_id", "text")
     seen = base.written(base.mapped(docs, _describe(width), "doc_id long, n long, key binary, short long"), "sets")
-    classes = seen.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("short").alias("short"))
+    classes = seen.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("short").alias("short"), F.count("*").alias("size"))
 
     # 40 bits tell 2**33 elements apart but for one in 128
-    ranges, bits = 2 * base.parts(spark), 40 if (seen.agg(F.sum("n")).first()[0] or 0) < 1 << 33 else 48
+    elements = seen.agg(F.sum("n")).first()[0] or 0
+    ranges, bits = max(2 * base.parts(spark), -(-elements // RANGE)), 40 if elements < 1 << 33 else 48
 
     def enough(texts: DataFrame) -> DataFrame:
         """(doc_id, n) of class heads with enough elements that other texts' sets have."""
@@ -509,5 +512,6 @@ def jaccard_classes(docs: DataFrame, width: int = 5, at_least: float = 0.8, piec
     links = base.mapped(cells, _search(ratio), "u long, v long")
     roots = graph.components(links)
 
-    heads = classes.join(roots.select(F.col("node").alias("head"), "component"), "head", "left").select("key", F.coalesce("component", "head").alias("component"))
-    return seen.join(heads, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    heads = classes.join(roots.select(F.col("node").alias("head"), "component"), "head", "left").select("key", "size", F.coalesce("component", "head").alias("component"))
+    found = base.spread(seen, base.written(heads, "heads"), ["key"], "doc_id")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
