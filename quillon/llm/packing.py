@@ -10,10 +10,13 @@ which need no padding.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +29,38 @@ SHARD = 2048
 K1, B = 1.2, 0.75
 #: Words, and words without punctuation, that a worker remembers.
 CACHE = 1_000_000
+#: Neighbours that are put in order at first, and the rest only if these don't fill a window.
+FIRST = 16
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _plain(spec: dict):
+    """The tokenizer ``spec`` for words that it neither normalises nor parts, in its letters for
+    bytes; None if it does more than lower, compose and part letters from others."""
+    from tokenizers import Tokenizer
+
+    kinds = [[x["type"] for x in (spec[outer] or {}).get(inner, [])] for outer, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or spec["model"]["end_of_word_suffix"] != "</w>":
+        return None
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+
+
+def _letter_of_byte() -> dict[int, int]:
+    """Byte-level BPE's letter of each byte but the line end, which parts words."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in same]
+    return {b: b for b in same} | {b: 256 + k for k, b in enumerate(rest)} | {10: 10}
+
+
 class Encoder:
     """Token ids of texts as little-endian 16-bit bytes, by way of a cache of words.
 
     White space parts words for the tokenizer too, so a text's ids are its words' ids, and
     as it ignores case, ASCII letters are lowered first (but in texts that could hold a
-    special token). New words of letters alone are encoded many at once and told apart by
-    the tokens that end a word; ASCII punctuation behind letters is a token sequence of its own.
+    special token). The words of many texts are numbered, and each is looked up once. New
+    words of letters alone are encoded many at once and told apart by the tokens that end a
+    word. Lower-case letters up to U+00FF need no normalising: these the model encodes by
+    itself, and only behind them ASCII punctuation is surely a token sequence of its own.
     """
 
     def __init__(self, path: str):
@@ -46,54 +71,73 @@ class Encoder:
         self.size = max(vocab.values()) + 1
         if self.size > 1 << 16:
             raise ValueError("more ids than 16 bits hold")
+        self.plain, self.letter_of = _plain(json.loads(self.tokenizer.to_str())), _letter_of_byte()
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
-    def _each(self, words: list[bytes]) -> None:
+    def _each(self, words: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.cores.update(zip(words, (np.array(x.ids, dtype="<u2").tobytes() for x in coded), strict=True))
+        return [np.array(x.ids, dtype="<u2").tobytes() for x in coded]
 
-    def _letters(self, words: list[bytes]) -> None:
+    def _letters(self, words: list[bytes], plain: bool) -> Iterator[bytes]:
+        tokenizer = self.plain if plain else self.tokenizer
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u2")
+            joined = b"\n".join(part)
+            text = joined.decode("latin-1").translate(self.letter_of) if plain else joined.decode()
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):
-                self._each(part)
+                yield from self._each(part)
                 continue
-            raw, at = ids.tobytes(), 0
-            for w, stop in zip(part, (2 * stops).tolist(), strict=True):
-                self.cores[w] = raw[at:stop]
-                at = stop
-
-    def learn(self, words: set[bytes]) -> None:
-        cores, new, rest = self.cores, set(), set()
-        split = []
-        for w in words:
-            core = w.rstrip(_TAIL)
-            if core in cores or core.decode().isalpha():
-                tail = w[len(core) :]
-                split.append((w, core, tail))
-                new.add(core)
-                rest.add(tail)
+            raw, at = ids.tobytes(), [0, *(2 * stops).tolist()]
+            yield from (raw[a:e] for a, e in pairwise(at))
+
+    def learn(self, words: list[bytes]) -> None:
+        known, cores, tails = self.words, self.cores, self.tails
+        trimmed = [w.rstrip(_TAIL) for w in words] if self.plain else words
+        plain, letters, others = [], [], []
+        for core in set(trimmed).difference(cores) if self.plain else ():
+            s = core.decode()
+            # of letters beyond ASCII, UTF-8 begins those from U+00C0 to U+00FF with 0xC3
+            if s.islower() and s.isalpha() and len(core) - len(s) == core.count(b"\xc3"):
+                plain.append(core)
+        cores.update(zip(plain, self._letters(plain, True), strict=True))
+        new = list({w[len(c) :] for w, c in zip(words, trimmed, strict=True) if c in cores}.difference(tails))
+        tails.update(zip(new, self._each(new), strict=True))
+        for w, core in zip(words, trimmed, strict=True):
+            ids = cores.get(core)
+            if ids is None:
+                (letters if w.decode().isalpha() else others).append(w)
             else:
-                split.append((w, w, b""))
-                rest.add(w)
-        rest.add(b"")
-        self._letters([w for w in new if w not in cores])
-        self._each([w for w in rest if w not in cores])
-        self.words.update((w, cores[core] + cores[tail]) for w, core, tail in split)
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        for cache in (self.words, self.cores):
+                known[w] = ids if len(core) == len(w) else ids + tails[w[len(core) :]]
+        known.update(zip(letters, self._letters(letters, False), strict=True))
+        known.update(zip(others, self._each(others), strict=True))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """texts: large strings, none null."""
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        for cache in (self.words, self.cores, self.tails):
             if len(cache) > CACHE:
                 cache.clear()
-        self.learn(set().union(*split).difference(self.words))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.tails[b""] = b""
+        ids = list(map(self.words.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
+        self.learn([words[k] for k in new])
+        for k in new:
+            ids[k] = self.words[words[k]]
+        ids = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.append(0, np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False)))
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[ids.offset :][ends].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:e]) for a, e in pairwise(at)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -112,9 +156,9 @@ def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            texts = batch.column(1).cast(pa.large_string()).fill_null("")
             for k in range(0, len(texts), 1024):
-                ids = [x + end for x in encode([t or b"" for t in texts[k : k + 1024]])]
+                ids = [x + end for x in encode(texts.slice(k, 1024))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1024), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return run
@@ -147,14 +191,34 @@ class Index:
         order = np.argsort(self.owner.astype(np.uint16 if len(sequences) < 1 << 16 else np.int64), kind="stable")
         self.queries = np.split(term[order], np.searchsorted(self.owner[order], np.arange(1, len(sequences))))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused sequences with a term of the seed's query, best first."""
+    def shrink(self, unused: np.ndarray) -> None:
+        """Leaves used sequences out of the lists; the queries stay."""
+        keep = unused[self.owner]
+        self.firsts = np.append(0, np.cumsum(keep))[self.firsts]
+        self.owner, self.impact = self.owner[keep], self.impact[keep]
+
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Of each sequence by the seed's query, of used ones 0."""
         query = self.queries[seed]
         lists = [slice(a, e) for a, e in zip(self.firsts[query].tolist(), self.firsts[query + 1].tolist(), strict=True)]
         score = np.bincount(np.concatenate([self.owner[x] for x in lists]), np.concatenate([self.impact[x] for x in lists]), len(unused))
         score[~unused] = 0
+        return score
+
+    def best(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused sequences with a term of the seed's query, best first."""
+        score = self.scores(seed, unused)
         at = np.flatnonzero(score)
-        return at[np.argsort(-score[at], kind="stable")]
+        if len(at) > 2 * FIRST:
+            least = np.partition(score[at], -FIRST)[-FIRST]
+            top = at[score[at] >= least]
+            yield from top[np.argsort(-score[top], kind="stable")].tolist()
+            at = at[score[at] < least]
+        yield from at[np.argsort(-score[at], kind="stable")].tolist()
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """All of best()."""
+        return np.fromiter(self.best(seed, unused), dtype=np.int64)
 
 
 def pack(sequences: list[np.ndarray], idf: np.ndarray, average: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -172,7 +236,7 @@ def pack(sequences: list[np.ndarray], idf: np.ndarray, average: float, window: i
     if not unused.any():
         return pieces
     index = Index([s[a:] for s, a in zip(sequences, at, strict=True)], idf, average)
-    following = 0
+    following, listed = 0, np.count_nonzero(unused)
     open_: list[tuple[int, int, int]] = []
     while True:
         while following < len(left) and not unused[following]:
@@ -192,7 +256,10 @@ def pack(sequences: list[np.ndarray], idf: np.ndarray, average: float, window: i
 
         put(following)
         if room:
-            for d in index.neighbours(following, unused).tolist():
+            if 4 * np.count_nonzero(unused) < 3 * listed:
+                index.shrink(unused)
+                listed = np.count_nonzero(unused)
+            for d in index.best(following, unused):
                 put(d)
                 if not room:
                     break

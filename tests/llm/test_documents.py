@@ -161,6 +161,35 @@ def test_neighbours_share_terms_with_their_seed():
     assert {d % 4 for d in first} == {0} and sum(n for *_, n, q, _ in [(d, s, n, q, o) for d, s, n, q, o in pieces] if q == 0) == 900
 
 
+def test_ids_do_not_depend_on_words_seen_before(spark):
+    from tokenizers import Tokenizer
+
+    # signs beyond ASCII join the ASCII punctuation behind them, as do marks that lowering or composing set free
+    texts = ["foo\u201d bar\u2014 a\u2026", *["b"] * 1024, "foo\u201d. bar\u2014, a\u2026!!", "B\u0130. \u0130, x\u0130!", "\u0958. \u0958,", "\u00c9t\u00e9, \u00e9t\u00e9. \u00aa. \u00ff! \u00f7?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in sorted(packing.pack_documents(docs).collect(), key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    for k, text in enumerate(texts):
+        assert np.frombuffer(got[k], dtype="<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_best_neighbours_first_and_shrunk_lists_score_alike():
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 90, rng.integers(5, 60)).astype("<u2") for _ in range(150)]
+    docs += [docs[3]] * 20  # equal scores keep the order of the documents
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=90)
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    index, unused = packing.Index(docs, idf, 30.0), rng.random(len(docs)) < 0.7
+    score = {seed: index.scores(seed, unused) for seed in (0, 3, 160)}
+    index.shrink(unused)
+    for seed, want in score.items():
+        assert (index.scores(seed, unused) == want).all()
+        order = [d for d in np.argsort(-want, kind="stable").tolist() if want[d]]
+        assert list(index.best(seed, unused)) == index.neighbours(seed, unused).tolist() == order and len(order) > 2 * packing.FIRST
+
+
 # pages
 def test_extraction_of_odd_pages():
     article = "<article><h1>A &amp; B</h1><p>First <b>bold</b> text.<br>Line<p>Second &#233;&nbsp;x</article>"
