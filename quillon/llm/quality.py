@@ -47,7 +47,8 @@ def features(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
         counts = np.bincount(np.repeat(passage, sizes) * 256 + letters, minlength=len(x) * 256).reshape(-1, 256)
         total = np.maximum(counts.sum(axis=1), 1)
         x[:, :256] = np.sqrt(counts / total[:, None])
-        per = np.maximum(np.bincount(passage, minlength=len(x)), 1)
+        words = np.bincount(passage, minlength=len(x))
+        per = np.maximum(words, 1)
 
         def share(flag: np.ndarray) -> np.ndarray:
             return np.bincount(passage, weights=flag, minlength=len(x)) / per
@@ -62,12 +63,15 @@ def features(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
         upper = (raw >= 65) & (raw <= 90)
         uppers = np.append(0, np.cumsum(upper))
         own = W.mix(chunk.hashes + passage.astype(np.uint64) * W._STEP[3])
-        triple = chunk.hashes.copy()
-        triple[: len(triple) - 2] = chunk.hashes[:-2] * W._STEP[0] + chunk.hashes[1:-1] * W._STEP[1] + chunk.hashes[2:] * W._STEP[2]
-        x[:, 256] = np.log1p(per) / 5
+        # words with two more behind them in their text
+        at = np.flatnonzero(np.arange(2, len(text_of) + 2) < chunk.bounds[text_of + 1])
+        triple = chunk.hashes[at] * W._STEP[0] + chunk.hashes[at + 1] * W._STEP[1] + chunk.hashes[at + 2] * W._STEP[2]
+        tripled = np.zeros(len(text_of), dtype=bool)
+        tripled[at] = repeated(W.mix(triple + text_of[at].astype(np.uint64) * W._STEP[4]))
+        x[:, 256] = np.log1p(words) / 5
         x[:, 257] = share(sizes) / 10
         x[:, 258] = share(repeated(own))
-        x[:, 259] = share(repeated(W.mix(triple + text_of.astype(np.uint64) * W._STEP[4])))
+        x[:, 259] = share(tripled)
         x[:, 260] = share(uppers[chunk.ends] - uppers[chunk.starts] == sizes)
         x[:, 261] = share((last < 128) & ~(((last | 32) >= 97) & ((last | 32) <= 122)))
         x[:, 262] = share((first >= 65) & (first <= 90))
@@ -79,6 +83,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _by_row(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, each row summed in the same order whatever rows are beside it; BLAS may take
+    another kernel for other numbers of rows."""
+    return np.einsum("ij,j...->i...", x, w, optimize=False)
+
+
 @dataclass
 class Model:
     """Weights; forward() gives each bag's score and what backward() needs."""
@@ -87,16 +97,16 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
 
-    def forward(self, x: np.ndarray, bounds: np.ndarray):
+    def forward(self, x: np.ndarray, bounds: np.ndarray, product=np.matmul):
         p = self.p
-        h = np.tanh(x @ p["W"] + p["b"])
-        t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = (t * g) @ p["w"]
+        h = np.tanh(product(x, p["W"]) + p["b"])
+        t, g = np.tanh(product(h, p["V"])), _sigmoid(product(h, p["U"]))
+        e = product(t * g, p["w"])
         sizes = np.diff(bounds)
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, bounds[:-1]), sizes))
         a = e / np.repeat(np.add.reduceat(e, bounds[:-1]), sizes)
         z = np.add.reduceat(a[:, None] * h, bounds[:-1], axis=0)
-        return _sigmoid(z @ p["c"] + p["d"]), (h, t, g, a, z)
+        return _sigmoid(product(z, p["c"]) + p["d"]), (h, t, g, a, z)
 
     def backward(self, x, bounds, y, weight, decay):
         p = self.p
@@ -118,7 +128,7 @@ class Model:
         return grad
 
     def score(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return self.forward((x - self.mean) / self.scale, bounds)[0]
+        return self.forward((x - self.mean) / self.scale, bounds, _by_row)[0]
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:

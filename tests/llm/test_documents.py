@@ -68,6 +68,20 @@ def test_gradients_are_right():
         assert np.isclose((high - low) / 2e-5, np.asarray(grad[name]).reshape(-1)[k], rtol=1e-3, atol=1e-7)
 
 
+def test_scores_do_not_depend_on_the_texts_beside():
+    rng = random.Random(3)
+    texts = [text_of(rng, i % 2).encode() for i in range(80)] + [b"b b", b"x y z x y", b"z z", b"", b"q"]
+    alone = [quality.features(next(W.chunks([0], [t])))[0] for t in texts]
+    model = quality.fit(alone, np.arange(len(texts)) % 2.0)
+    want = [model.score(x, np.array([0, len(x)]))[0] for x in alone]
+    for _ in range(40):
+        order = rng.sample(range(len(texts)), rng.randrange(2, len(texts)))
+        x, bounds = quality.features(next(W.chunks(order, [texts[k] for k in order])))
+        for i, k in enumerate(order):
+            assert (x[bounds[i] : bounds[i + 1]] == alone[k]).all(), texts[k]
+        assert model.score(x, bounds).tolist() == [want[k] for k in order]
+
+
 def test_every_passage_counts():
     (chunk,) = W.chunks([0, 1], [b"w " * 300, b""])
     x, bounds = quality.features(chunk)
