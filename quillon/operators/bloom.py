@@ -18,8 +18,8 @@ from quillon.operators.generic import literal
 BITS = "key string, word bigint, bits bigint"
 #: Shape of a filter that BF.ADD makes.
 CAPACITY, RATE = 1_000_000, 0.01
-#: Name of the one filter of build() and probe().
-ONE = ""
+#: Name of the one filter of build() and probe(), and of the row of its bits that holds its capacity.
+ONE, SIZE = "", "#capacity"
 
 
 def clamp(capacity: int, fpr: float = RATE) -> tuple[int, float]:
@@ -99,14 +99,21 @@ def _one(df: DataFrame, capacity: int, fpr: float) -> DataFrame:
 
 
 def build(items: DataFrame, column: str, capacity: int = CAPACITY, fpr: float = RATE) -> DataFrame:
-    """The bits of one filter for all items of a column."""
-    words = _words(items.select(F.lit(ONE).alias("key"), F.col(column).alias("item")), F.broadcast(_one(items, capacity, fpr)))
-    return words.groupBy("key", "word").agg(F.bit_or("bits").alias("bits"))
+    """The bits of one filter for all items of a column. It is made for ``capacity`` items or,
+    where the column has more different ones, for as many, so that the rate holds; how many is
+    told to probe() by a row of the key SIZE."""
+    rows = items.select(F.lit(ONE).alias("key"), F.col(column).alias("item"))
+    most = rows.agg(F.count_distinct("item").alias("n"))
+    one = _one(items, capacity, fpr).crossJoin(F.broadcast(most)).select("key", F.greatest("capacity", "n").alias("capacity"), "fpr")
+    bits = _words(rows, F.broadcast(one)).groupBy("key", "word").agg(F.bit_or("bits").alias("bits"))
+    return bits.unionAll(one.select(F.lit(SIZE).alias("key"), F.lit(0).cast("bigint").alias("word"), F.col("capacity").alias("bits")))
 
 
 def probe(bits: DataFrame, items: DataFrame, column: str, capacity: int = CAPACITY, fpr: float = RATE) -> DataFrame:
-    """(item, found) of a column's items."""
-    return exists(F.broadcast(_one(items, capacity, fpr)), bits, items.select(F.lit(ONE).alias("key"), F.col(column).alias("item"))).select("item", "found")
+    """(item, found) of a column's items; bits, capacity and fpr as those of build()."""
+    made = bits.where(F.col("key") == SIZE).agg(F.max("bits").alias("made"))
+    one = _one(items, capacity, fpr).crossJoin(F.broadcast(made)).select("key", F.coalesce("made", "capacity").alias("capacity"), "fpr")
+    return exists(F.broadcast(one), bits, items.select(F.lit(ONE).alias("key"), F.col(column).alias("item"))).select("item", "found")
 
 
 def info(blooms: DataFrame) -> DataFrame:

@@ -43,3 +43,13 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     bits = bloom.build(members, "x", 1000, 0.01)
     assert bloom.probe(bits, members, "x", 1000, 0.01).where("found = 0").count() == 0
     assert bloom.probe(bits, others, "x", 1000, 0.01).where("found = 1").count() < 150
+
+
+def test_a_built_bloom_keeps_its_rate_beyond_its_capacity(spark):
+    from quillon.operators import bloom
+
+    members = spark.range(3000).selectExpr("cast(id as string) as x")
+    others = spark.range(3000, 8000).selectExpr("cast(id as string) as x")
+    bits = bloom.build(members, "x", 100, 0.01)
+    assert bloom.probe(bits, members, "x", 100, 0.01).where("found = 0").count() == 0
+    assert bloom.probe(bits, others, "x", 100, 0.01).where("found = 1").count() < 150
