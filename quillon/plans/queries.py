@@ -235,7 +235,7 @@ add("ts_mrange", lambda ks: timeseries.mrange(ks.series, ks.series_meta, "-", "+
 
 def _overwritten(ks: Keyspace) -> DataFrame:
     """The samples, every third of which is written again with a value larger by one."""
-    again = ks.series.where("seq % 3 = 0").select("key", "ts_ms", (F.col("value") + 1).alias("value"), (F.col("seq") + 1_000_000_000).alias("seq"))
+    again = ks.series.where("seq % 3 = 0").select("key", "ts_ms", (F.col("value") + 1).alias("value"), (F.col("seq") + 1_000_000_000).alias("seq"), keyspace.SAMPLE)
     return timeseries.add(ks.series, again)
 
 
@@ -248,7 +248,7 @@ add("ts_create", lambda ks: timeseries.create(ks.series_meta, "new", 1000, {"a":
 
 
 def _madd(ks: Keyspace) -> tuple[DataFrame, DataFrame]:
-    rows = ks.series.select((F.col("seq") % 100_000).cast("int").alias("pos"), "key", F.when(F.col("seq") % 5 == 0, "x").otherwise(F.col("ts_ms").cast("string")).alias("ts"), F.when(F.col("seq") % 7 == 0, "y").otherwise(F.col("seq").cast("string")).alias("value"))
+    rows = ks.series.select((F.col("seq") % 100_000).cast("int").alias("pos"), "key", keyspace.SAMPLE, F.when(F.col("seq") % 5 == 0, "x").otherwise(F.col("ts_ms").cast("string")).alias("ts"), F.when(F.col("seq") % 7 == 0, "y").otherwise(F.col("seq").cast("string")).alias("value"))
     return timeseries.madd(ks.series.where("seq < 0"), rows, 0)
 
 
@@ -267,7 +267,7 @@ add(
     f"SELECT key, ts_ms, value FROM (SELECT *, max(ts_ms) OVER (PARTITION BY key ORDER BY seq * 7919 % 100003 ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead FROM series) WHERE ahead IS NULL OR ts_ms >= ahead - {7 * _DAY}",
     "series",
 )
-add("ts_current", lambda ks: timeseries.current(timeseries.add(ks.series, ks.series.select("key", "ts_ms", (F.col("value") + 1).alias("value"), (F.col("seq") + 1_000_000_000).alias("seq")).where("seq % 2 = 0"))).select("key", "ts_ms", F.round("value", 6).alias("value")), "SELECT key, ts_ms, round(value + CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END, 6) AS value FROM series", "series")
+add("ts_current", lambda ks: timeseries.current(timeseries.add(ks.series, ks.series.select("key", "ts_ms", (F.col("value") + 1).alias("value"), (F.col("seq") + 1_000_000_000).alias("seq"), keyspace.SAMPLE).where("seq % 2 = 0"))).select("key", "ts_ms", F.round("value", 6).alias("value")), "SELECT key, ts_ms, round(value + CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END, 6) AS value FROM series", "series")
 add("ts_incrby", lambda ks: _rounded(timeseries.incrby(ks.series.where("seq < 100"), ks.series.where("seq >= 100").select("key", "ts_ms", F.col("value").alias("delta"), "seq")).select("key", "ts_ms", "value"), "value"), """SELECT s.key AS key, s.ts_ms AS ts_ms, round(coalesce(b.base, 0) + sum(s.value) OVER (PARTITION BY s.key ORDER BY s.seq), 6) AS value
   FROM series s LEFT JOIN (SELECT key, arg_max(value, ts_ms) AS base FROM series WHERE seq < 100 GROUP BY key) b ON s.key = b.key WHERE s.seq >= 100""", "series")
 add("ts_del", lambda ks: timeseries.del_(ks.series, "ts:click", _FROM, "+")[0].groupBy("key").agg(F.count("*").alias("n")), f"SELECT key, count(*) AS n FROM series WHERE NOT (key = 'ts:click' AND ts_ms >= {_FROM}) GROUP BY key", "series")
