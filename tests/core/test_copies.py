@@ -12,9 +12,9 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 QUERY_NAMES = """
 info keys_overwritten memory_by_type ns_stats ts_agg_overwritten ts_current ts_madd ts_mrange ts_mrange_overwritten
-ts_range ts_range_agg_all ts_range_agg_count ts_range_agg_avg ts_range_agg_sum ts_range_agg_min ts_range_agg_max
-ts_range_agg_first ts_range_agg_last ts_range_agg_range ts_range_agg_stddev ts_retention ts_get ts_info ts_incrby
-sql_group_by
+ts_range ts_range_agg_all ts_range_agg_count ts_range_overwritten ts_range_agg_avg ts_range_agg_sum ts_range_agg_min
+ts_range_agg_max ts_range_agg_first ts_range_agg_last ts_range_agg_range ts_range_agg_stddev ts_retention ts_get ts_info
+ts_incrby sql_group_by
 """.split()
 
 
