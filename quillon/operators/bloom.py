@@ -1,9 +1,13 @@
 """Bloom filters: deterministic, keyed, and packed.
 
 A filter of m bits and k hashes sets, for each item, the bits (h1 + i * h2) mod m for
-i < k. Bits are a table (key, word, bits) with 64 of them in a row, merged by bit_or, which
-Spark does in part before the shuffle; so a filter costs what its bits cost, however many
-items it has. An item is reported where all of its bits are set.
+i < k. Bits are a table (key, word, bits) with 64 of them in a row, merged by bit_or in
+part before the shuffle; so a filter costs what its bits cost, however many items it has.
+An item is reported where all of its bits are set.
+
+An item makes k rows, one for each bit. Spark joins small partitions by the bytes that it
+shuffled, before it knows of those rows, so items are dealt to a fixed number of tasks
+before they make them, whatever their keys, and the rows again by word.
 """
 
 from __future__ import annotations
@@ -45,12 +49,32 @@ def positions(item: Column, m: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.pmod(a + i.cast("bigint") * b, m))
 
 
-def _words(items: DataFrame, blooms: DataFrame, *carry: str) -> DataFrame:
-    """items(key, item, ...) -> (key, ..., word, bits), a row for each word that an item sets bits in."""
+def _tasks(df: DataFrame) -> int:
+    """A quarter of the shuffle partitions, or 64 of more: each task writes a file for each of the next ones."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(n, 64), n // 4)
+
+
+def _words(items: DataFrame, blooms: DataFrame) -> DataFrame:
+    """items(key, item) -> (part, key, item, word, bits), a row for each bit of each different
+    item, and one without a word for an item that has no filter. A part is in one task, and
+    there are eight for each task, so that tasks are alike."""
     m, k = shapes(F.col("capacity"), F.col("fpr"))
-    rows = items.join(blooms.select("key", "capacity", "fpr"), "key").select("key", *carry, F.explode(positions(F.col("item"), m, k)).alias("at"))
+    part = F.pmod(F.xxhash64("key", "item"), F.lit(8 * _tasks(items))).cast("int")
+    shaped = items.select("key", "item").join(blooms.select("key", "capacity", "fpr"), "key", "left").withColumn("part", part)
+    at = F.when(F.col("capacity").isNotNull(), positions(F.col("item"), m, k))
+    rows = shaped.repartition(_tasks(items), "part").distinct().select("part", "key", "item", F.explode_outer(at).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
-    return rows.select("key", *carry, F.floor(F.col("at") / 64).alias("word"), bit.alias("bits"))
+    return rows.select("part", "key", "item", F.floor(F.col("at") / 64).alias("word"), bit.alias("bits"))
+
+
+def _merged(bits: DataFrame) -> DataFrame:
+    return bits.repartition(_tasks(bits), "key", "word").groupBy("key", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _bits(items: DataFrame, blooms: DataFrame) -> DataFrame:
+    """The bits of the items, merged within each part."""
+    return _words(items, blooms).where("word is not null").groupBy("part", "key", "word").agg(F.bit_or("bits").alias("bits")).select("key", "word", "bits")
 
 
 def reserve(blooms: DataFrame, key: str, capacity: int, fpr: float = RATE) -> DataFrame:
@@ -65,11 +89,9 @@ def reserve(blooms: DataFrame, key: str, capacity: int, fpr: float = RATE) -> Da
 def exists(blooms: DataFrame, bits: DataFrame, items: DataFrame) -> DataFrame:
     """BF.EXISTS, BF.MEXISTS: items(key, item) -> (key, item, found): 1 for every item that
     was added, for a share of about fpr of the others, and 0 where there is no filter."""
-    asked = items.select("key", "item").distinct()
-    need = _words(asked, blooms, "item").groupBy("key", "item", "word").agg(F.bit_or("bits").alias("need"))
-    hit = need.join(bits, ["key", "word"], "left").withColumn("hit", F.col("need").bitwiseAND(F.coalesce("bits", F.lit(0))) == F.col("need"))
-    found = hit.groupBy("key", "item").agg(F.min(F.col("hit").cast("int")).alias("found"))
-    return asked.join(found, ["key", "item"], "left").select("key", "item", F.coalesce("found", F.lit(0)).alias("found"))
+    need = _words(items, blooms).select("key", "item", "word", F.col("bits").alias("need")).repartition(_tasks(items), "key", "word")
+    hit = need.join(bits, ["key", "word"], "left").select("key", "item", (F.col("need").bitwiseAND(F.col("bits")) != 0).cast("int").alias("hit"))
+    return hit.groupBy("key", "item").agg(F.min(F.coalesce("hit", F.lit(0))).alias("found"))
 
 
 def add(blooms: DataFrame, bits: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -79,7 +101,7 @@ def add(blooms: DataFrame, bits: DataFrame, items: DataFrame) -> tuple[DataFrame
     made = items.select("key").distinct().join(blooms.select("key"), "key", "left_anti")
     blooms = blooms.unionByName(made.select("key", F.lit(CAPACITY).cast("bigint").alias("capacity"), F.lit(RATE).alias("fpr"), F.lit(0).cast("bigint").alias("items_added")))
     replies = exists(blooms, bits, items).select("key", "item", (1 - F.col("found")).alias("added"))
-    new = bits.unionByName(_words(items, blooms)).groupBy("key", "word").agg(F.bit_or("bits").alias("bits"))
+    new = _merged(bits.unionByName(_bits(items, blooms)))
     counts = replies.groupBy("key").agg(F.sum("added").alias("n"))
     blooms = blooms.join(counts, "key", "left").select("key", "capacity", "fpr", (F.col("items_added") + F.coalesce("n", F.lit(0))).alias("items_added"))
     return blooms, new, replies
@@ -105,8 +127,7 @@ def build(items: DataFrame, column: str, capacity: int = CAPACITY, fpr: float =
     rows = items.select(F.lit(ONE).alias("key"), F.col(column).alias("item"))
     most = rows.agg(F.count_distinct("item").alias("n"))
     one = _one(items, capacity, fpr).crossJoin(F.broadcast(most)).select("key", F.greatest("capacity", "n").alias("capacity"), "fpr")
-    bits = _words(rows, F.broadcast(one)).groupBy("key", "word").agg(F.bit_or("bits").alias("bits"))
-    return bits.unionAll(one.select(F.lit(SIZE).alias("key"), F.lit(0).cast("bigint").alias("word"), F.col("capacity").alias("bits")))
+    return _merged(_bits(rows, F.broadcast(one))).unionAll(one.select(F.lit(SIZE).alias("key"), F.lit(0).cast("bigint").alias("word"), F.col("capacity").alias("bits")))
 
 
 def probe(bits: DataFrame, items: DataFrame, column: str, capacity: int = CAPACITY, fpr: float = RATE) -> DataFrame:

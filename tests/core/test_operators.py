@@ -451,3 +451,18 @@ def test_plans(spark, small):
     keys = keysview.keys_view(small)
     assert "member" not in plan(keys.where("type = 'string'"))
     assert "TakeOrderedAndProject" in plan(lifecycle.hotkeys(spark.range(9).selectExpr("cast(id as string) as key", "id as access_count")))
+
+
+def test_bits_of_one_filter_are_made_and_merged_in_many_tasks(spark):
+    rows = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    items = spark.range(4000).select(F.lit("hot").alias("key"), F.col("id").cast("string").alias("item"))
+    blooms = spark.range(1).select(F.lit("hot").alias("key"), F.lit(1 << 40).alias("capacity"), F.lit(1e-4).alias("fpr"), F.lit(0).cast("bigint").alias("items_added"))
+    for made in (bloom._words(items, blooms), bloom.add(blooms, spark.createDataFrame([], bloom.BITS), items)[1]):
+        assert len(rows(made)) > 1 and max(rows(made)) < 0.6 * sum(rows(made)) and sum(rows(made)) > 0.99 * 4000 * 14
+
+
+def test_blooms_of_repeated_null_and_unknown_items(spark):
+    items = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("b", "x"), (None, "x")], "key string, item string")
+    blooms, bits, replies = bloom.add(bloom.reserve(keyspace.empty(spark).blooms, "a", 10), spark.createDataFrame([], bloom.BITS), items.where("key = 'a'"))
+    assert sorted((r.key, r.item or "", r.added) for r in replies.collect()) == [("a", "", 1), ("a", "x", 1)]
+    assert sorted((r.key or "", r.item or "", r.found) for r in bloom.exists(blooms, bits, items).collect()) == [("", "x", 0), ("a", "", 1), ("a", "x", 1), ("b", "x", 0)]

@@ -53,3 +53,10 @@ def test_a_built_bloom_keeps_its_rate_beyond_its_capacity(spark):
     bits = bloom.build(members, "x", 100, 0.01)
     assert bloom.probe(bits, members, "x", 100, 0.01).where("found = 0").count() == 0
     assert bloom.probe(bits, others, "x", 100, 0.01).where("found = 1").count() < 150
+
+
+@pytest.mark.parametrize("name", ["bf_add_again"])
+def test_bloom_queries_deal_items_before_they_make_bits(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    made = [at for at, line in enumerate(plan.splitlines()) if "Generate explode" in line]
+    assert made and all(any("REPARTITION_BY_NUM" in line for line in plan.splitlines()[at : at + 5]) for at in made)
