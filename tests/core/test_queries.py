@@ -55,7 +55,7 @@ def test_a_built_bloom_keeps_its_rate_beyond_its_capacity(spark):
     assert bloom.probe(bits, others, "x", 100, 0.01).where("found = 1").count() < 150
 
 
-@pytest.mark.parametrize("name", ["bf_add_again", "bf_add"])
+@pytest.mark.parametrize("name", ["bf_add_again", "bf_add", "bf_card"])
 def test_bloom_queries_deal_items_before_they_make_bits(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     made = [at for at, line in enumerate(plan.splitlines()) if "Generate explode" in line]
